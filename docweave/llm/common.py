@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Python's ``re`` and in the tokenizers library; any other text is given to
 #: the library whole.  (ASCII without the separators 1C-1F, Latin-1 letters.)
 PLAIN_TEXT = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The word-level vocabulary's split of lower-cased plain text.
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+import public_tokenizers
+
+from . import bpe, packing, quality, sstable
 from .common import read_table
 
 
@@ -10,9 +12,24 @@ def op4_quality_cascade(spark, sf_dir):
     return quality.query(read_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_pair_index_bpe(spark, sf_dir):
+    return bpe.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_sstable_shards(spark, sf_dir):
+    return sstable.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op4_quality_cascade": op4_quality_cascade,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_pair_index_bpe": op6_pair_index_bpe,
+        "op8_sstable_shards": op8_sstable_shards,
     }
 
 
