@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, quality, sstable
+from . import bpe, packing, quality, sstable, tokencount
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op6_pair_index_bpe(spark, sf_dir):
     return bpe.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_transducer_counts(spark, sf_dir):
+    return tokencount.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sstable_shards(spark, sf_dir):
     return sstable.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,6 +33,7 @@ def queries() -> dict:
         "op4_quality_cascade": op4_quality_cascade,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pair_index_bpe": op6_pair_index_bpe,
+        "op7_transducer_counts": op7_transducer_counts,
         "op8_sstable_shards": op8_sstable_shards,
     }
 
