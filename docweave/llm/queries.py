@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, quality, sstable, tokencount
+from . import bpe, packing, pii, quality, secrets, sstable, tokencount
 from .common import read_table
 
 
+def op1_randomness_secrets(spark, sf_dir):
+    return secrets.query(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_cascade(spark, sf_dir):
     return quality.query(read_table(spark, sf_dir, "documents"))
 
@@ -28,13 +32,19 @@ def op8_sstable_shards(spark, sf_dir):
     return sstable.query(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_boosted_pii(spark, sf_dir):
+    return pii.query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op1_randomness_secrets": op1_randomness_secrets,
         "op4_quality_cascade": op4_quality_cascade,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pair_index_bpe": op6_pair_index_bpe,
         "op7_transducer_counts": op7_transducer_counts,
         "op8_sstable_shards": op8_sstable_shards,
+        "op9_boosted_pii": op9_boosted_pii,
     }
 
 
