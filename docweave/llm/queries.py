@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, pii, quality, secrets, sstable, tokencount
+from . import bpe, packing, pii, quality, secrets, sstable, tokencount, warc
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_randomness_secrets(spark, sf_dir):
     return secrets.query(read_table(spark, sf_dir, "documents"))
 
 
+def op3_content_addressed_warc(spark, sf_dir):
+    return warc.query(read_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_cascade(spark, sf_dir):
     return quality.query(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_boosted_pii(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_randomness_secrets": op1_randomness_secrets,
+        "op3_content_addressed_warc": op3_content_addressed_warc,
         "op4_quality_cascade": op4_quality_cascade,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_pair_index_bpe": op6_pair_index_bpe,
@@ -50,5 +55,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_content_addressed_warc": warc.SQL,
         "op4_quality_cascade": quality.SQL,
     }
