@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, pii, quality, secrets, sstable, tokencount, warc
+from . import bpe, packing, pii, quality, secrets, sstable, tokencount, topk, warc
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_randomness_secrets(spark, sf_dir):
     return secrets.query(read_table(spark, sf_dir, "documents"))
 
 
+def op2_impact_topk(spark, sf_dir):
+    return topk.query(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_content_addressed_warc(spark, sf_dir):
     return warc.query(read_table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op9_boosted_pii(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_randomness_secrets": op1_randomness_secrets,
+        "op2_impact_topk": op2_impact_topk,
         "op3_content_addressed_warc": op3_content_addressed_warc,
         "op4_quality_cascade": op4_quality_cascade,
         "op5_best_fit_packing": op5_best_fit_packing,
@@ -55,6 +60,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_impact_topk": topk.SQL,
         "op3_content_addressed_warc": warc.SQL,
         "op4_quality_cascade": quality.SQL,
     }
