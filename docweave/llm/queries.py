@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, pii, quality, secrets, sstable, tokencount, topk, warc
+from . import bpe, ordermin, packing, pii, quality, secrets, sstable, tokencount, topk, warc
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op9_boosted_pii(spark, sf_dir):
     return pii.query(read_table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark, sf_dir):
+    return ordermin.query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_randomness_secrets": op1_randomness_secrets,
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op7_transducer_counts": op7_transducer_counts,
         "op8_sstable_shards": op8_sstable_shards,
         "op9_boosted_pii": op9_boosted_pii,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
