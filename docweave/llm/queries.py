@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
+
 from . import bpe, ordermin, packing, pii, quality, secrets, sstable, tokencount, topk, warc
 from .common import read_table
 
@@ -60,6 +62,7 @@ def queries() -> dict:
         "op8_sstable_shards": op8_sstable_shards,
         "op9_boosted_pii": op9_boosted_pii,
         "op10_order_minhash": op10_order_minhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
