@@ -85,10 +85,10 @@ def repeat_words(words: list) -> int:
 RULES: dict[str, Callable[[Figures], bool]] = {
     # more than one symbol of markup or tables for every ten words
     "symbols": lambda f: 10 * f.n_symbols > f.n_words,
-    # a fifth of the words stand in repeated three-word windows
-    "repeats": lambda f: 5 * f.n_repeat_words > f.n_words,
-    # three lines in ten were seen before
-    "lines": lambda f: 10 * f.n_dup_lines > 3 * f.n_lines,
+    # two fifths of the words stand in repeated three-word windows
+    "repeats": lambda f: 5 * f.n_repeat_words > 2 * f.n_words,
+    # more lines than not were seen before
+    "lines": lambda f: 2 * f.n_dup_lines > f.n_lines,
     # words too short or too long on average for prose
     "lengths": lambda f: f.word_chars < 2 * f.n_words or f.word_chars > 12 * f.n_words,
     # shouting: pairs of adjacent capitals, more than one for every four words
@@ -192,7 +192,7 @@ f AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (
-         10 * n_symbols > n_words OR 5 * n_repeat_words > n_words OR 10 * n_dup_lines > 3 * n_lines
+         10 * n_symbols > n_words OR 5 * n_repeat_words > 2 * n_words OR 2 * n_dup_lines > n_lines
          OR word_chars < 2 * n_words OR word_chars > 12 * n_words
          OR 4 * n_caps > n_words OR 5 * n_exclaims > n_words) AS kept
 FROM b
