@@ -50,7 +50,7 @@ def split_id(ref: str) -> tuple[str, int] | None:
 def token_pattern(prefixes: list[str]) -> str:
     """Mentions of ids with these prefixes; the longest prefix wins, words around them do not count."""
     names = "|".join(re.escape(p) for p in sorted(prefixes, key=lambda p: (-len(p), p)))
-    return rf"(?<![A-Za-z0-9_-])({names or '(?!)'})-([0-9]+)(?![A-Za-z0-9_])"
+    return rf"(?<![A-Za-z0-9_])({names or '(?!)'})-([0-9]+)(?![A-Za-z0-9_])"
 
 
 def date_of(text: Column) -> Column:
