@@ -382,12 +382,13 @@ SQL: dict[str, str] = {
         SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN was IS NULL THEN 'no baseline' WHEN now IS NULL THEN 'gone' WHEN was = now THEN 'current' ELSE 'drift' END AS state
         FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
     "q_summary": """
+        SELECT * FROM (
         SELECT 'core.dep-resolved' AS code, count(*) AS errors, 0::BIGINT AS warnings, 0::BIGINT AS infos, count(DISTINCT o_orderkey) AS files
         FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)
         UNION ALL SELECT 'core.allowed-values', count(*), 0, 0, count(DISTINCT o_orderkey) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
         UNION ALL SELECT 'core.file-budget', 0, count(*), 0, count(DISTINCT doc_id) FROM documents WHERE length(text) > 20000
         UNION ALL SELECT 'core.required-anchors', 0, count(*), 0, count(DISTINCT page_id) FROM pages WHERE NOT contains(html, '</html>')
-        UNION ALL SELECT 'core.required-metadata', 0, 0, count(*), count(DISTINCT doc_id) FROM documents""",
+        UNION ALL SELECT 'core.required-metadata', 0, 0, count(*), count(DISTINCT doc_id) FROM documents) WHERE files > 0""",
 }
 
 
