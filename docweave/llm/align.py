@@ -28,6 +28,11 @@ def _common(a: list, b: list, i: int, j: int) -> int:
 
 def edit_distance(a: list, b: list, limit: int) -> int:
     """Word edits between a and b, or limit + 1 if there are more than ``limit``."""
+    return min(edits(a, b, limit), limit + 1)
+
+
+def edits(a: list, b: list, limit: int) -> int:
+    """Word edits between a and b if they are at most ``limit``, else a lower bound above it."""
     head = _common(a, b, 0, 0)
     a, b = a[head:], b[head:]
     tail = _common(a[::-1], b[::-1], 0, 0)
@@ -35,12 +40,13 @@ def edit_distance(a: list, b: list, limit: int) -> int:
         a, b = a[:-tail], b[:-tail]
     n, m = len(a), len(b)
     if abs(n - m) > limit:
-        return limit + 1
+        return abs(n - m)
     if not n or not m:
         return max(n, m)
     left, right = Counter(a), Counter(b)
-    if max((left - right).total(), (right - left).total()) > limit:  # each edit mends one word a side at most
-        return limit + 1
+    least = max((left - right).total(), (right - left).total())  # each edit mends one word a side at most
+    if least > limit:
+        return least
     found = _diagonals(a, b, min(limit, DIAGONAL_EDITS))
     if found is not None:
         return found
@@ -98,8 +104,6 @@ def _table(a: list, b: list, limit: int) -> int:
     return int(row[m - n + limit])
 
 
-def similar(a: list, b: list, least: float) -> bool:
-    """Whether 1 - edits / longer length is at least ``least``."""
-    longer = max(len(a), len(b))
-    limit = int((1 - least) * longer + 1e-9)
-    return edit_distance(a, b, limit) <= limit
+def allowed(n: int, m: int, least: float) -> int:
+    """Edits that leave a similarity, 1 - edits / longer length, of at least ``least``."""
+    return int((1 - least) * max(n, m) + 1e-9)

@@ -10,10 +10,11 @@ Jaccard similarity 0.8 shares some key with probability 1 - (1 - 0.8^5)^32,
 words of at least SIMILARITY; classes are the components of the links.
 
 Scale.  Exact copies are one node from the start.  Within a key, members are
-paired with leaders only: first the smallest node of the key, then, in keys
-whose members are still in different classes, ever more leaders until every
-member has met every other of another class or its length rules a link out.
-Texts move only for nodes that share a key.  Keys, pairs and labels stay
+paired with its leader only, the smallest node.  Texts that share a passage and
+little else share keys without being alike, so where several classes remain in
+a key, what is compared further shares at least two keys (a pair at Jaccard 0.8
+does with probability 99.995 %), and classes are met by their centres; see
+``_between_classes``.  Texts move only for nodes that share a key.  Keys, pairs and labels stay
 distributed, hot keys meet in joins that Spark can split.
 
 Defined results: a null text is the empty one; texts without five words have
@@ -35,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import similar
+from .align import allowed, edits
 from .common import id_and_text, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 LEAST = 5
-#: Leaders of each key in the rounds after the first.
+#: Leaders of each key in a further round; the next has as many times more.
 LEADERS = 8
 
 _WORD = re.compile(r"\w+")
@@ -148,25 +149,31 @@ def sketches(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(made, _SKETCH)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts align, each text joined on by its node."""
+def compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, d, linked) for each pair: the edits if it is a link, else a lower bound of them."""
 
     def aligned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in it:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            found, linked = [], []
+            for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if b not in held:  # a leader stands in many rows
                     if len(held) >= 64:
                         held.clear()
                     held[b] = words_of(y)
-                keep.append(similar(words_of(x), held[b], least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                words = words_of(x)
+                limit = allowed(len(words), len(held[b]), least)
+                found.append(edits(words, held[b], limit))
+                linked.append(found[-1] <= limit)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "d", "linked"],
+            )
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(aligned, "a long, b long")
+    return both.mapInArrow(aligned, "a long, b long, d long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,35 +237,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     # first round: each node and the least leader that it meets
     pairs = met.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
-    labels = components(written(verified(pairs, texts, least), "links"))
+    links = written(compared(pairs, texts, least).where("linked"), "links")
+    labels = components(links)
 
     # second round: the other leaders that it meets, where the classes still differ
     apart = met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     apart = apart.join(pairs, ["a", "b"], "left_anti")
     apart = _labelled(_labelled(apart, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-    labels = _more(apart, labels, texts, least)
-
-    # further rounds: more leaders in the keys that hold several classes
-    done, more = 1, LEADERS
-    while True:
-        mixed = _labelled(met.select("key", "node", "n"), labels, "node", "label")
-        several = mixed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        several = several.where((F.col("low") < F.col("high")) & (F.col("size") > done + 1)).select("key")
-        members = written(mixed.join(several, "key"), "members")
-        if members.isEmpty():
-            break
-        ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        lead = ranked.where(F.col("nth") <= done + more).where(F.col("nth") > done)
-        lead = lead.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-        apart = (
-            members.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-            .join(lead, "key")
-            .where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & _length_fits("na", "nb", least))
-            .select("a", "b")
-            .distinct()
-        )
-        labels = _more(apart, labels, texts, least)
-        done, more = done + more, more * LEADERS
+    more = written(compared(apart, texts, least).where("linked"), "links")
+    labels = _merged(more, labels)
+    links = links.unionByName(more)
+    labels = _between_classes(met, nodes.select("node", "n"), links, labels, texts, least)
 
     of_node = _labelled(nodes.select("md5", "node", "first_id"), labels, "node", "label")
     ids = of_node.groupBy("label").agg(F.min("first_id").alias("class_id"))
@@ -266,9 +255,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return sk.select("doc_id", "md5").join(of_text, "md5").select("doc_id", "md5", "label", "class_id")
 
 
-def _more(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Labels after the links among further pairs; the new links join classes, so classes are what is linked."""
-    new = written(verified(pairs, texts, least), "links")
+def _merged(new: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after further links: what the links join are classes."""
     if new.isEmpty():
         return labels
     between = _labelled(_labelled(new, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -278,6 +266,88 @@ def _more(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -
     return written(known.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def _centres(nodes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, centre, e): nodes that link to their class's most linked leader, and how many edits from it.
+
+    Every other node is its own centre, at no edits.
+    """
+    degree = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n_links"))
+    best = _labelled(degree, labels, "node", "label").groupBy("label").agg(F.max("n_links").alias("n_links"))
+    hub = _labelled(degree, labels, "node", "label").join(best, ["label", "n_links"]).groupBy("label").agg(F.min("node").alias("hub"))
+    near = _labelled(links.select(F.col("a").alias("node"), "b", "d"), labels, "node", "label").join(hub, "label").where("b = hub AND node <> hub")
+    near = near.groupBy("node").agg(F.min("b").alias("hub"), F.min("d").alias("d"))
+    return nodes.select("node").join(near, "node", "left").select("node", F.coalesce("hub", "node").alias("centre"), F.coalesce("d", F.lit(0)).alias("e"))
+
+
+def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Labels after comparing what shares two keys and stands in different classes.
+
+    Classes are met by their centres, so a large class counts once.  Where two
+    centres are far apart, the triangle inequality rules out all members that
+    are nearer to their centres than that; the few others are compared
+    themselves.  Keys of two keys that hold several centres get ever more
+    leaders, until every centre has met every other there.
+    """
+    of_key = _labelled(met.select("key", "node"), labels, "node", "label")
+    mixed = of_key.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    own = written(of_key.join(mixed, "key").select("node", "key"), "mixed")
+    if own.isEmpty():
+        return labels
+    both = own.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS keys
+    pairs_of = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.size("keys") - 1),
+            lambda i: F.transform(F.slice("keys", i + 1, F.size("keys")), lambda k: F.xxhash64(F.element_at("keys", i), k)),
+        )
+    )
+    both = both.where(F.size("keys") > 1).select("node", F.explode(pairs_of).alias("key"))
+    centres = written(_centres(own.select("node").distinct(), links, labels), "centres")
+    around = written(centres.join(nodes, "node"), "around")
+    spread = around.groupBy("centre").agg(F.max("e").alias("most"), F.max("n").alias("longest"), F.min("n").alias("shortest"))
+    held = both.join(centres.select("node", "centre"), "node").select("key", "centre").distinct()
+    held = written(held.join(spread, "centre").withColumnRenamed("centre", "node"), "held")
+
+    done, more = 0, LEADERS
+    while True:
+        now = _labelled(held, labels, "node", "label")
+        several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        several = several.where((F.col("low") < F.col("high")) & (F.col("size") > done + 1)).select("key")
+        members = written(now.join(several, "key"), "members")
+        if members.isEmpty():
+            return labels
+        ranked = members.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        lead = ranked.where(F.col("nth") <= done + more).where(F.col("nth") > done)
+        side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "most", "longest", "shortest")])
+        apart = (
+            side(members, "a")
+            .join(side(lead, "b"), "key")
+            .where("node_a > node_b AND label_a <> label_b")
+            # some members' lengths must allow a link
+            .where((F.col("shortest_a") * least <= F.col("longest_b") + 1e-9) & (F.col("shortest_b") * least <= F.col("longest_a") + 1e-9))
+            .select(
+                F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("most_a") + F.col("most_b")).alias("slack"),
+                F.greatest("longest_a", "longest_b").alias("longest"),
+            )
+            .distinct()
+        )
+        apart = written(apart, "apart")
+        seen = written(compared(apart, texts, least), "compared")
+        # members whose centres are not far enough apart to rule them out
+        far = seen.where("NOT linked").join(apart.where("slack > 0"), ["a", "b"])
+        close = written(far.where(F.col("d") - F.col("slack") <= (1 - least) * F.col("longest") + 1e-9).select("a", "b", "d"), "close")
+        left = around.select(F.col("centre").alias("a"), F.col("node").alias("x"), F.col("e").alias("ex"), F.col("n").alias("nx"))
+        right = around.select(F.col("centre").alias("b"), F.col("node").alias("y"), F.col("e").alias("ey"), F.col("n").alias("ny"))
+        inner = close.join(left, "a").join(right, "b").where(
+            (F.col("ex") + F.col("ey") > 0)
+            & _length_fits("nx", "ny", least)
+            & (F.col("d") - F.col("ex") - F.col("ey") <= (1 - least) * F.greatest("nx", "ny") + 1e-9)
+        )
+        inner = inner.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        new = seen.where("linked").unionByName(compared(inner, texts, least).where("linked"))
+        labels = _merged(written(new.select("a", "b", "d"), "links"), labels)
+        done, more = done + more, more * LEADERS
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class: one of each.
 
