@@ -1,11 +1,13 @@
 """Graph queries over edge tables (src, dst): reachability, depth, cycles.
 
-All loops run on the driver over distributed frontiers; every round is cut by
-a reliable checkpoint in the shared folder, so a lost executor costs a round.
+All loops run on the driver over distributed frontiers; every round is written
+to the shared folder, so a lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ MAX_ROUNDS = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir, or under /tmp where that is unset."""
+    """Cut lineage by a table in spark.checkpoint.dir, or under /tmp where that is unset; computed once."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docweave-checkpoints")
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docweave-checkpoints"
+    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
