@@ -284,8 +284,8 @@ def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels:
 
     Classes are met by their centres, so a large class counts once.  Where two
     centres are far apart, the triangle inequality rules out all members that
-    are nearer to their centres than that; the few others are compared
-    themselves.  Keys of two keys that hold several centres get ever more
+    are nearer to their centres than that; the few others that share two keys
+    are compared themselves.  Keys of two keys that hold several centres get ever more
     leaders, until every centre has met every other there.
     """
     of_key = _labelled(met.select("key", "node"), labels, "node", "label")
@@ -293,16 +293,16 @@ def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels:
     own = written(of_key.join(mixed, "key").select("node", "key"), "mixed")
     if own.isEmpty():
         return labels
-    both = own.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS keys
+    keys_of = written(own.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "keys")  # at most BANDS keys
     pairs_of = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size("keys") - 1),
             lambda i: F.transform(F.slice("keys", i + 1, F.size("keys")), lambda k: F.xxhash64(F.element_at("keys", i), k)),
         )
     )
-    both = both.where(F.size("keys") > 1).select("node", F.explode(pairs_of).alias("key"))
+    both = keys_of.where(F.size("keys") > 1).select("node", F.explode(pairs_of).alias("key"))
     centres = written(_centres(own.select("node").distinct(), links, labels), "centres")
-    around = written(centres.join(nodes, "node"), "around")
+    around = written(centres.join(nodes, "node").join(keys_of, "node"), "around")
     spread = around.groupBy("centre").agg(F.max("e").alias("most"), F.max("n").alias("longest"), F.min("n").alias("shortest"))
     held = both.join(centres.select("node", "centre"), "node").select("key", "centre").distinct()
     held = written(held.join(spread, "centre").withColumnRenamed("centre", "node"), "held")
@@ -335,12 +335,13 @@ def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels:
         # members whose centres are not far enough apart to rule them out
         far = seen.where("NOT linked").join(apart.where("slack > 0"), ["a", "b"])
         close = written(far.where(F.col("d") - F.col("slack") <= (1 - least) * F.col("longest") + 1e-9).select("a", "b", "d"), "close")
-        left = around.select(F.col("centre").alias("a"), F.col("node").alias("x"), F.col("e").alias("ex"), F.col("n").alias("nx"))
-        right = around.select(F.col("centre").alias("b"), F.col("node").alias("y"), F.col("e").alias("ey"), F.col("n").alias("ny"))
+        left = around.select(F.col("centre").alias("a"), F.col("node").alias("x"), F.col("e").alias("ex"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
+        right = around.select(F.col("centre").alias("b"), F.col("node").alias("y"), F.col("e").alias("ey"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
         inner = close.join(left, "a").join(right, "b").where(
             (F.col("ex") + F.col("ey") > 0)
             & _length_fits("nx", "ny", least)
             & (F.col("d") - F.col("ex") - F.col("ey") <= (1 - least) * F.greatest("nx", "ny") + 1e-9)
+            & (F.size(F.array_intersect("kx", "ky")) > 1)
         )
         inner = inner.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         new = seen.where("linked").unionByName(compared(inner, texts, least).where("linked"))
