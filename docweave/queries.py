@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import globs, text as tx
 from .model import Namespace, diagnostics
 from .operators import core, graph, navigation as nav
-from .sources import relational as rel
+from .sources import external, markdown, relational as rel, scan
+from .sources.config import Config
 
 AS_OF = "2001-08-01"
 BAD_WORDS = ["thing", "nicht", "mente"]
@@ -292,7 +293,66 @@ def q_summary(spark, sf):
         F.count_if(F.col("severity") == "info").alias("infos"), F.count_distinct("path").alias("files"))
 
 
+def _markdown(spark, sf):
+    """Documents rendered as markdown envelopes and parsed back: every document mentions its successor, and more."""
+    n = F.col("doc_id")
+    body = F.concat(
+        F.lit("---\nstatus: "), F.when(n % 3 == 0, "done").otherwise("open"), F.lit("\n---\n# T\n## "), F.when(n % 2 == 0, "1. Status:").otherwise("State"),
+        F.lit("\nSee DOC-00"), (n + 1).cast("string"), F.lit(", `DOC-999999` and ~~DOC-888888~~.\n- ["), F.when(n % 4 == 0, "x").otherwise(" "), F.lit("] box\n```\nDOC-777777\n```\n"),
+        F.coalesce("text", F.lit("")), F.lit("\nagain DOC-"), (n + 1).cast("string"))
+    raw = rel.read(spark, sf, "documents").select(
+        F.concat(F.lit("DOC-"), n.cast("string")).alias("id"), body.alias("body"), F.concat(F.lit("docs/"), n.cast("string"), F.lit(".md")).alias("location"),
+        F.array().cast("array<string>").alias("depends_on"), F.array().cast("array<string>").alias("part_of"), F.lit("{}").alias("extra_json"))
+    return markdown.build(spark, external.parse_envelopes(raw), Config(namespaces=[Namespace("DOC")]), "source")
+
+
+def _path_number(df, *more):
+    return df.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("doc_id"), *more)
+
+
+def q_md_cross_ref(spark, sf):
+    found = core.cross_ref(_markdown(spark, sf), "DOC", {})
+    return _path_number(found, F.col("subject").alias("mention"), F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "note")
+
+
+def q_md_required_headings(spark, sf):
+    return _path_number(core.required_headings(_markdown(spark, sf), "DOC", {"headings": ["Status"]}), F.col("subject").alias("heading"))
+
+
+def q_md_acceptance(spark, sf):
+    p = {"terminal": ["done"], "headings": ["Status", "State"]}
+    return _path_number(core.acceptance_complete(_markdown(spark, sf), "DOC", p), F.col("line").cast("long").alias("line"))
+
+
+def q_md_refs(spark, sf):
+    return nav.refs(_markdown(spark, sf), "DOC", 5).select("file", F.col("line").cast("long").alias("line"), F.col("kind"))
+
+
+def q_scan_hits(spark, sf):
+    """A line scanner over made-up source files: one mention in three is hushed by a marker."""
+    n = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("x = CUST-"), F.col("o_custkey").cast("string"), F.when(n % 3 == 0, f"  // {scan.IGNORE_LINE}").otherwise(""), F.lit("\n"),
+        F.when(n % 2 == 0, f"// {scan.IGNORE_NEXT}").otherwise("//"), F.lit("\nHTTP-2 ORD-7 and CUST-00"), F.col("o_custkey").cast("string"))
+    files = rel.read(spark, sf, "orders").select(F.concat(F.lit("f"), n.cast("string")).alias("location"), text.cast("binary").alias("content"))
+    hits = scan.hits(scan.lines(files), ["CUST", "ORD"])
+    return hits.select(F.substring("file", 2, 20).cast("long").alias("o_orderkey"), "ns", "number", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
+
+
 SQL: dict[str, str] = {
+    "q_md_cross_ref": """
+        WITH b AS (SELECT doc_id, coalesce(text, '') AS text, doc_id + 1 AS n FROM documents)
+        SELECT doc_id, 'DOC-00' || n AS mention, 6::BIGINT AS line, 5::BIGINT AS col, '2 mentions' AS note FROM b WHERE n NOT IN (SELECT doc_id FROM documents)""",
+    "q_md_required_headings": "SELECT doc_id, 'Status' AS heading FROM documents WHERE doc_id % 2 <> 0",
+    "q_md_acceptance": "SELECT doc_id, 7::BIGINT AS line FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0",
+    "q_md_refs": """
+        SELECT 'docs/5.md' AS file, 0::BIGINT AS line, 'self' AS kind FROM documents WHERE doc_id = 5
+        UNION ALL SELECT 'docs/4.md', 6, 'body' FROM documents WHERE doc_id = 4
+        UNION ALL SELECT 'docs/4.md', 11 + length(text) - length(replace(text, chr(10), '')) + 1, 'body' FROM documents WHERE doc_id = 4""",
+    "q_scan_hits": """
+        SELECT o_orderkey, 'CUST' AS ns, o_custkey AS number, 1::BIGINT AS line, 5::BIGINT AS col FROM orders WHERE o_orderkey % 3 <> 0
+        UNION ALL SELECT o_orderkey, 'ORD', 7, 3, 8 FROM orders WHERE o_orderkey % 2 <> 0
+        UNION ALL SELECT o_orderkey, 'CUST', o_custkey, 3, 18 FROM orders WHERE o_orderkey % 2 <> 0""",
     "q_id_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "q_dep_resolved": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)",
     "q_dep_status": "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' AND o_orderstatus <> 'F'",
