@@ -185,7 +185,7 @@ def files_allowed(c: Corpus, ns: str, p: dict) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("text", r"^`?([^`\s]+)`?", 1), r"/$", "")
     items = items.withColumn("path", path).where(F.col("path").contains("/") | F.col("path").contains(".")).where(~F.col("path").rlike(r"[*?\[]"))
     lost = items.join(c.files.select("path"), "path", "left_anti")
-    folders = c.files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda i: F.substring_index(F.col("path"), "/", i))).alias("path")).distinct()
+    folders = c.files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))).alias("path")).distinct()
     return findings(lost.join(folders, "path", "left_anti").join(_subjects(c, ns), "doc_key"), F.col("path"), line=F.col("line"), severity=p.get("severity"))
 
 
