@@ -124,8 +124,8 @@ def test_suggestion_and_order(found):
 
 
 def test_packs_round_trip(spark, tmp_path):
-    text, added, _ = packs.add("guide", "[ADR]\nrules = []\n", str(tmp_path))
-    assert added == ["GUIDE"] and text.startswith("[ADR]")
+    text, added, _ = packs.add("guide", "[MINE]\nrules = []\n", str(tmp_path))
+    assert added == ["GUIDE"] and text.startswith("[MINE]")
     assert packs.add("guide", text, str(tmp_path))[1:] == ([], ["GUIDE"])
     assert {r.ns: r.state for r in packs.outdated(spark, text, str(tmp_path)).collect()} == {"GUIDE": "current"}
     local = tmp_path / "packs/guide/pack.toml"
