@@ -12,9 +12,10 @@ words of at least SIMILARITY; classes are the components of the links.
 Scale.  Exact copies are one node from the start.  Within a key, members are
 paired with its leader only, the smallest node.  Texts that share a passage and
 little else share keys without being alike, so where several classes remain in
-a key, what is compared further shares at least two keys (a pair at Jaccard 0.8
-does with probability 99.995 %), and classes are met by their centres; see
-``_between_classes``.  Texts move only for nodes that share a key.  Keys, pairs and labels stay
+a key, its members meet by their rarest words: a link leaves so many words
+common that its two texts share one of those, so no link among them is given up
+(``rare_words``).  Classes are met by their centres; see ``_between_classes``.
+Texts move only for nodes that share a key.  Keys, pairs and labels stay
 distributed, hot keys meet in joins that Spark can split.
 
 Defined results: a null text is the empty one; texts without five words have
@@ -279,32 +280,54 @@ def _centres(nodes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame
     return nodes.select("node").join(near, "node", "left").select("node", F.coalesce("hub", "node").alias("centre"), F.coalesce("d", F.lit(0)).alias("e"))
 
 
+def rare_words(texts: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, key): the rarest words of each text, so many that the two texts of a link share one.
+
+    Words carry the number of their occurrence.  A link between texts of n and
+    m words, n the more, has at most (1 - least) * n edits, so at least
+    least * n words are common, and whatever the order of all words, one of them
+    is among the first (1 - least) * n + 1 of the one text and the first
+    (1 - least) * m + 1 of the other.
+    """
+
+    def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in it:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                key = _mixed(h + occurrences(h) * _ONE).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), node, np.int64)), pa.array(key)], names=["node", "key"])
+
+    words = written(texts.select("node", "text").mapInArrow(made, "node long, key long"), "words")
+    often = words.groupBy("key").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "key"))
+    ranked = words.join(often, "key").withColumn("nth", nth).join(nodes, "node")
+    first = ranked.where(F.col("nth") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)
+    return written(first.where("often > 1").select("node", "key"), "rare")
+
+
 def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Labels after comparing what shares two keys and stands in different classes.
+    """Labels after comparing what shares a key and stands in different classes.
 
+    Nodes of such keys meet by their rare words, which every link shares.
     Classes are met by their centres, so a large class counts once.  Where two
     centres are far apart, the triangle inequality rules out all members that
-    are nearer to their centres than that; the few others that share two keys
-    are compared themselves.  Keys of two keys that hold several centres get ever more
+    are nearer to their centres than that; the few others that share a rare word
+    are compared themselves.  Words that hold several centres get ever more
     leaders, until every centre has met every other there.
     """
     of_key = _labelled(met.select("key", "node"), labels, "node", "label")
     mixed = of_key.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    own = written(of_key.join(mixed, "key").select("node", "key"), "mixed")
+    own = written(of_key.join(mixed, "key").select("node").distinct(), "mixed")
     if own.isEmpty():
         return labels
-    keys_of = written(own.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "keys")  # at most BANDS keys
-    pairs_of = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("keys") - 1),
-            lambda i: F.transform(F.slice("keys", i + 1, F.size("keys")), lambda k: F.xxhash64(F.element_at("keys", i), k)),
-        )
-    )
-    both = keys_of.where(F.size("keys") > 1).select("node", F.explode(pairs_of).alias("key"))
-    centres = written(_centres(own.select("node").distinct(), links, labels), "centres")
+    rare = rare_words(texts.join(own, "node"), nodes, least)
+    keys_of = written(rare.groupBy("node").agg(F.collect_set("key").alias("keys")), "keys")
+    centres = written(_centres(own, links, labels), "centres")
     around = written(centres.join(nodes, "node").join(keys_of, "node"), "around")
     spread = around.groupBy("centre").agg(F.max("e").alias("most"), F.max("n").alias("longest"), F.min("n").alias("shortest"))
-    held = both.join(centres.select("node", "centre"), "node").select("key", "centre").distinct()
+    held = rare.join(centres.select("node", "centre"), "node").select("key", "centre").distinct()
     held = written(held.join(spread, "centre").withColumnRenamed("centre", "node"), "held")
 
     done, more = 0, LEADERS
@@ -341,7 +364,7 @@ def _between_classes(met: DataFrame, nodes: DataFrame, links: DataFrame, labels:
             (F.col("ex") + F.col("ey") > 0)
             & _length_fits("nx", "ny", least)
             & (F.col("d") - F.col("ex") - F.col("ey") <= (1 - least) * F.greatest("nx", "ny") + 1e-9)
-            & (F.size(F.array_intersect("kx", "ky")) > 1)
+            & F.arrays_overlap("kx", "ky")
         )
         inner = inner.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         new = seen.where("linked").unionByName(compared(inner, texts, least).where("linked"))

@@ -213,6 +213,21 @@ def test_near_duplicates(spark, nothing):
     assert om.query(nothing).count() == 0 and om.keep_one(nothing).count() == 0
 
 
+def test_links_in_a_key_of_a_common_passage(spark, monkeypatch):
+    """Pairs of which each text shares one key, that of a passage that many others share too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, rows = [word() for _ in range(8)], []
+    for k in range(40):
+        own = [word() for _ in range(40)]
+        other = [word() if i % 6 == 5 else w for i, w in enumerate(own)]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + other))]
+    alone = om.sketch
+    monkeypatch.setattr(om, "sketch", lambda words, hashes: alone(words[:8], hashes))
+    got = {r.doc_id: r.class_id for r in om.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_near_duplicates_odd(spark, odd):
     got = om.classes(odd).collect()
     assert len(got) == odd.count()
