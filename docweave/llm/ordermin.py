@@ -6,7 +6,10 @@ LEAST smallest shingles are sampled and put back into text order; their
 sequence is hashed to a key.  Equal keys propose a pair: that is sensitive to
 which shingles two texts share and to the order they stand in.  A pair at
 Jaccard similarity 0.8 shares some key with probability 1 - (1 - 0.8^5)^32,
-99.9997 %.  A pair is a link if banded alignment finds an edit similarity of
+99.9997 %.  A text of at most SHORT words has besides a key for every sequence
+that is left when as many words as a link allows are deleted: all links among
+such texts share one, and so does every link of a text too short for sampling.
+A pair is a link if banded alignment finds an edit similarity of
 words of at least SIMILARITY; classes are the components of the links.
 
 Scale.  Exact copies are one node from the start.  Within a key, members are
@@ -27,6 +30,7 @@ is the least doc_id of the class, null if none has one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -44,6 +48,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 LEAST = 5
+#: Words up to which texts have keys of deletions: texts of at most LEAST shingles link to no longer ones.
+SHORT = int((SHINGLE + LEAST - 1) / SIMILARITY + 1e-9)
 #: Leaders of each key in a further round; the next has as many times more.
 LEADERS = 8
 
@@ -126,6 +132,16 @@ def sketch(words: list[str], hashes: WordHashes) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def short_keys(words: list[str]) -> list[int]:
+    """A key for each sequence that is left of a short text without the words a link may lack."""
+    n = len(words)
+    if not 0 < n <= SHORT:
+        return []
+    longest = int(n / SIMILARITY + 1e-9)
+    left = {c for k in range(n - allowed(n, longest, SIMILARITY), n + 1) for c in itertools.combinations(words, k)}
+    return [xxhash.xxh3_64_intdigest(" ".join(c), seed=len(c)) - (1 << 63) for c in left]
+
+
 _SKETCH = "doc_id bigint, md5 binary, n bigint, keys array<bigint>"
 
 
@@ -141,7 +157,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 md5.append(hashlib.md5(text.encode("utf-8")).digest())
                 n.append(len(words))
-                keys.append(sketch(words, hashes))
+                keys.append(sketch(words, hashes) + short_keys(words))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(md5, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "md5", "n", "keys"],

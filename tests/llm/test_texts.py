@@ -228,6 +228,29 @@ def test_links_in_a_key_of_a_common_passage(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_links_of_short_texts(spark):
+    """Every link among texts of 1 to 12 words of which one has at most 9."""
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for n in range(4, 13):
+        for m in range(n, min(12, int(n / om.SIMILARITY + 1e-9)) + 1):
+            limit = om.allowed(n, m, om.SIMILARITY)
+            if n > 9 or limit == 0:
+                continue
+            for _ in range(6):
+                a = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+                b = list(a)
+                for _ in range(m - n):
+                    b.insert(rng.randint(0, len(b)), "more")
+                for _ in range(limit - (m - n)):
+                    b[rng.randrange(len(b))] = "other"
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in om.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(len(rows[a][1].split()), len(rows[b][1].split())) for a, b in pairs} >= {(8, 9), (9, 10), (9, 11)}
+    assert [p for p in pairs if got[p[1]] != p[0]] == []
+
+
 def test_near_duplicates_odd(spark, odd):
     got = om.classes(odd).collect()
     assert len(got) == odd.count()
