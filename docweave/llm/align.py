@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
-
-#: Beyond that many edits the diagonals give way to a banded table in numpy.
-DIAGONAL_EDITS = 40
+#: Beyond that many edits the diagonals give way to a band of bits.
+DIAGONAL_EDITS = 8
 
 
 def _common(a: list, b: list, i: int, j: int) -> int:
@@ -50,7 +48,7 @@ def edits(a: list, b: list, limit: int) -> int:
     found = _diagonals(a, b, min(limit, DIAGONAL_EDITS))
     if found is not None:
         return found
-    return limit + 1 if limit <= DIAGONAL_EDITS else _table(a, b, limit)
+    return limit + 1 if limit <= DIAGONAL_EDITS else _band(a, b, limit)
 
 
 def _diagonals(a: list, b: list, limit: int) -> int | None:
@@ -76,32 +74,41 @@ def _diagonals(a: list, b: list, limit: int) -> int | None:
     return None
 
 
-def _table(a: list, b: list, limit: int) -> int:
-    """Rows of a band of 2 * limit + 1 cells."""
-    number: dict = {}
-    x = np.array([number.setdefault(w, len(number)) for w in a])
-    y = np.array([number.setdefault(w, len(number)) for w in b])
-    n, m, width = len(x), len(y), 2 * limit + 1
-    far = limit + 1
-    steps = np.arange(width)
-    padded = np.full(n + width + m + 1, -1)
-    padded[limit : limit + m] = y  # padded[i - 1 + t] is b's word at column i + t - limit
-    row = np.where(steps >= limit, steps - limit, far)
-    row[steps - limit > m] = far
-    for i in range(1, n + 1):
-        col = i - limit + steps
-        cost = row + (padded[i - 1 : i - 1 + width] != x[i - 1])
-        up = np.append(row[1:], far) + 1
-        new = np.minimum(cost, up)
-        new[(col < 1) | (col > m)] = far
-        if 0 <= limit - i < width:
-            new[limit - i] = i
-        new = np.minimum.accumulate(new - steps) + steps
-        new[(col < 0) | (col > m)] = far
-        row = np.minimum(new, far)
-        if row.min() > limit:
-            return far
-    return int(row[m - n + limit])
+def _band(a: list, b: list, limit: int) -> int:
+    """Edits by a band of 2 * limit + 1 rows that moves down the diagonal, a column of differences at a time.
+
+    Bit i of a column's words stands for row column - limit + i.  ``up`` and
+    ``down`` say where a cell is one more or one less than the cell above it;
+    ``more`` and ``less`` where it is one more or one less than the cell to its
+    left; ``same`` where it equals the cell up and to its left.
+    """
+    if len(a) <= limit:  # a common head changes nothing and gives the band its length
+        a, b = [None] * limit + a, [None] * limit + b
+    n, m = len(a), len(b)
+    at: dict = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << (i + limit)
+    full, last = (1 << 2 * limit + 1) - 1, 1 << 2 * limit
+    up, down = full >> limit << limit, 0
+    found, most = limit, 2 * limit + m - n  # D[limit, 0]; it falls by one a column at most once row n is reached
+    for j in range(m):
+        hit = at.get(b[j], 0) >> j & full
+        same = ((((hit & up) + up) ^ up) | hit | down) & full
+        more, less = down | full & ~(same | up), same & up
+        if j < n - limit:  # along the band's lower edge
+            if not same & last:
+                found += 1
+                if found > most:
+                    return limit + 1
+        else:  # along row n
+            edge = 1 << (n - 1 - j + limit)
+            if more & edge:
+                found += 1
+            elif less & edge:
+                found -= 1
+        same >>= 1
+        up, down = less | full & ~(same | more), same & more
+    return min(found, limit + 1)
 
 
 def allowed(n: int, m: int, least: float) -> int:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import functools
 import os
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,28 +49,65 @@ def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], dict]) ->
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    The session's own setting is read; only where there is none (tests) is a
-    folder under /tmp used.
+    The session's own setting is read.  Only where there is none, and driver and
+    executors are one process (tests), is a local folder used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docweave-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/docweave-checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docweave-checkpoints")
-    return df.checkpoint()
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, in columns."""
-    path = shared_dir(df.sparkSession, what)
+    return _written(df, shared_dir(df.sparkSession, what))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Intermediate tables of one run, below one shared folder that is deleted at the end."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.n = spark, shared_dir(spark, what), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.root}/{self.n:03d}-{name}")
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.root)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Schemes that Spark's connectors and pyarrow call differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI by which pyarrow knows a folder that Spark names by ``uri``."""
+    scheme, colon, rest = uri.partition(":")
+    return f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI, for code that reads and writes files inside tasks."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The tokenizer of a file, once per Python process, on one thread."""
