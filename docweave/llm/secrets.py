@@ -2,23 +2,34 @@
 
 The base finds assignments to secret-like names, access keys and long hex
 runs.  The battery looks at runs of 20 and more key characters that no base
-span touches.  For each, an encoding (alphabet) is inferred and three
-statistics of its character codes are taken: chi-squared against a uniform
-alphabet, runs above and below the middle, and lag-1 serial correlation.  A
-run is a secret if
-
-* none of the three rejects uniform randomness (|z| <= Z_RANDOM), and
-* "it is ordinary text" is rejected: the p-value of its chi-squared statistic
-  under the character frequencies of text passes Benjamini-Hochberg at FDR
-  within its stratum of lengths.  The test's mean and spread depend on the
-  length, so that a short run needs more to be believed.
-
-The false-discovery thresholds come from a histogram of all p-values of the
-corpus (at most STRATA x BINS rows).  The normal distribution function is
-approximated by a logistic one.
-
-Defined results: a null or empty text has no spans; offsets are code points;
-base spans are all kept, spans of the battery do not overlap them.
+span touches.  For each, an encoding (alphabet) is inferred, and a run is a
+secret if
+
+* uniform randomness stands: chi-squared of its characters against the uniform
+  alphabet, runs above and below the middle, and lag-1 serial correlation all
+  have |z| <= Z_RANDOM, and
+* "it is ordinary text" falls: chi-squared, runs and serial dependence have
+  each a p-value under that hypothesis, combined by Fisher's method, and the
+  combination passes Benjamini-Hochberg at FDR within its stratum of lengths.
+
+Under "ordinary text", chi-squared is that of the character frequencies of
+text; a change between small letters, capitals and digits follows at most
+TEXT_CHANGES of the characters (names in camel case have the most), and at
+least TEXT_PAIRS of the pairs of neighbouring letters are among those that are
+frequent in text.  The latter two p-values are Chernoff bounds of the binomial
+tails, so they are never too small.  A longer run gives all three more
+evidence, so a short one needs more to be believed.
+
+The false-discovery thresholds come from a histogram of the p-values of all
+distinct candidates of the corpus (at most STRATA x BINS rows).  The normal
+distribution function is approximated by a logistic one.
+
+All work on a text of k matches is in the order of k^1.5 or less.
+
+Defined results: a null or empty text has no spans; repeated rows have equal
+spans each; other columns, whatever their names, are not looked at; offsets
+are code points; base spans are all kept, spans of the battery do not overlap
+them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +41,10 @@ from .common import id_and_text, written
 
 FDR = 0.01
 Z_RANDOM = 3.3
+#: Share of characters of text, at most, after which the class of characters changes.
+TEXT_CHANGES = 0.30
+#: Share of neighbouring letters of text, at least, that are a frequent pair.
+TEXT_PAIRS = 0.40
 #: Lower bounds of the strata of lengths.
 STRATA = (20, 28, 40, 64)
 BINS = 400
@@ -60,6 +75,14 @@ ENCODINGS = (
     (r"", _UPPER + _LOWER + _DIGITS + "+/", 0.066, 0.0060),
 )
 
+#: Frequent pairs of letters in English, German, French and Spanish text.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro "
+    "ic ne ea ra ce li ch ll be ma si om ur ei ie un di ge ue qu la el os ai"
+).split()
+_PAIR = "|".join(f"(?<={a})[{''.join(p[1] for p in PAIRS if p[0] == a)}]" for a in sorted({p[0] for p in PAIRS}))
+_CHANGE = "(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -69,18 +92,52 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-(F.lit(1.5976) * z + F.lit(0.070565) * z * z * z)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where the value is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+def _before(steps: Column) -> Column:
+    """The sum of all steps before each step; in blocks, so that n steps take about n^1.5 additions."""
+
+    def blocks(s: Column, b: Column) -> Column:
+        at = lambda i: F.floor(i / b).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), at(F.size(s) - 1)), lambda k: _total(F.slice(s, k * b + 1, b)))
+        heads = lambda x: F.transform(x, lambda _, k: _total(F.slice(x, F.lit(1), k)))
+        each = lambda h: F.transform(s, lambda _, i: F.element_at(h, at(i) + 1) + _total(F.slice(s, at(i) * b + 1, i % b)))
+        return _let(sums, lambda x: _let(heads(x), each))
+
+    return _let(steps, lambda s: _let(F.ceil(F.sqrt(F.size(s))).cast("int"), lambda b: blocks(s, b)))
+
+
 def _located(gaps: Column, found: Column) -> Column:
     """(start, end, number) of each match, from the text between matches and the matches."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,k:int>>").alias("out"))
 
-    def add(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        end = start + F.length(F.element_at(found, i))
-        span = F.struct(start.alias("start"), end.alias("end"), i.alias("k"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def places(g: Column, m: Column) -> Column:
+        def place(at: Column, i: Column) -> Column:
+            start = at + F.get(g, i)
+            return F.struct(start.alias("start"), (start + F.get(m, i)).alias("end"), (i + 1).alias("k"))
+
+        return F.transform(_before(F.zip_with(g, m, lambda x, y: x + y)), place)
 
     n = F.size(found)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, add)["out"]).otherwise(zero["out"])
+    located = _let(
+        F.transform(F.slice(gaps, F.lit(1), F.greatest(n, F.lit(1))), F.length),
+        lambda g: _let(F.transform(found, F.length), lambda m: places(g, m)),
+    )
+    return F.when(n > 0, located).otherwise(F.array().cast("array<struct<start:int,end:int,k:int>>"))
+
+
+def _touched(places: Column, r: Column) -> Column:
+    """Whether one of the places (in order, apart from each other) overlaps r; by binary search."""
+    starts_before = lambda n, step: F.coalesce(F.get(places, n + step - 1)["start"] < r["end"], F.lit(False))
+    steps = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
+    n = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(starts_before(n, step), step).otherwise(0))
+    return F.coalesce(F.get(places, n - 1)["end"] > r["start"], F.lit(False))
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -113,22 +170,32 @@ def base(docs: DataFrame) -> DataFrame:
     df = _with_matches(df, "hex", HEX, text.rlike(HEX))
     df = _with_matches(df, "run", CANDIDATE, text.rlike(CANDIDATE))
 
+    long_enough = F.filter("assign_at", lambda s: F.length(F.get("assign_value", s["k"] - 1)) >= 6)
+    df = df.withColumn("assign_at", F.when(F.size("assign_at") > 0, long_enough).otherwise(F.col("assign_at")))
+
     def spans(name: str) -> Column:
-        places = F.col(f"{name}_at")
-        if name == "assign":
-            places = F.filter(places, lambda s: F.length(F.element_at(F.col("assign_value"), s["k"])) >= 6)
-        kind = KINDS.index(name)
-        return F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))).cast(_SPAN)
+        kind = F.lit(KINDS.index(name)).alias("kind")
+        return F.transform(f"{name}_at", lambda s: F.struct(s["start"].alias("start"), kind, s["end"].alias("end"))).cast(_SPAN)
 
-    df = df.withColumn("base", F.array_sort(F.concat(spans("assign"), spans("access"), spans("hex"))))
-    return df.select("doc_id", "base", "run_at", "run_text")
+    base = F.array_sort(F.concat(spans("assign"), spans("access"), spans("hex")))
+    return df.select("doc_id", base.alias("base"), _free().alias("runs"))
 
 
-def _coded(runs: Column, base_spans: Column, texts: Column) -> Column:
-    """Candidates that touch no base span, with the inferred encoding."""
-    free = F.filter(
-        runs, lambda r: ~F.exists(base_spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    )
+def _free() -> Column:
+    """Candidates that touch no base span: their places and texts."""
+
+    def free(by_kind: list[Column], texts: Column) -> Column:
+        apart = lambda r: ~_touched(by_kind[0], r) & ~_touched(by_kind[1], r) & ~_touched(by_kind[2], r)
+        token = lambda r: F.get(texts, r["k"] - 1).alias("token")
+        return F.transform(F.filter("run_at", apart), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), token(r)))
+
+    held = F.struct(*[F.col(f"{k}_at") for k in ("assign", "access", "hex")], F.col("run_text"))
+    runs = _let(held, lambda h: free([h["assign_at"], h["access_at"], h["hex_at"]], h["run_text"]))
+    return F.when(F.size("run_at") > 0, runs).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
+
+
+def _coded(runs: Column) -> Column:
+    """The candidates with the inferred encoding."""
 
     def encoding(token: Column) -> Column:
         out = F.lit(None).cast("int")
@@ -138,18 +205,41 @@ def _coded(runs: Column, base_spans: Column, texts: Column) -> Column:
         return out
 
     return F.transform(
-        free,
-        lambda r: F.struct(
-            r["start"].alias("start"), r["end"].alias("end"), F.element_at(texts, r["k"]).alias("token"),
-            encoding(F.element_at(texts, r["k"])).alias("code"),
-        ),
-    )
+        runs,
+        lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["token"].alias("token"), encoding(r["token"]).alias("code")),
+    )
 
 
 def _pick(code: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), code + 1)
 
 
+def _signs_of_text(token: Column) -> list[Column]:
+    """Changes of class and places for them; frequent pairs of letters and all pairs of letters."""
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    return [
+        count(token, _CHANGE).alias("changes"),
+        count(token, "(?<=[A-Za-z0-9])[A-Za-z0-9]").alias("places"),
+        count(F.lower(token), _PAIR).alias("frequent"),
+        count(token, "(?<=[A-Za-z])[A-Za-z]").alias("pairs"),
+    ]
+
+
+def _tail(hits: Column, n: Column, share: float, above: bool) -> Column:
+    """Chernoff bound of the probability of so many hits or more (or so few or less) in n trials."""
+    x = F.least(F.greatest(hits / F.greatest(n, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    part = lambda x, q: F.when(x > 0, x * F.ln(F.greatest(x, F.lit(1e-12)) / q)).otherwise(0.0)
+    bound = F.exp(-n * (part(x, F.lit(share)) + part(1 - x, F.lit(1 - share))))
+    far = (x > share) if above else (x < share)
+    return F.when(far & (n > 0), bound).otherwise(1.0)
+
+
+def _fisher(p: Column) -> Column:
+    """The p-value of a product p of three independent p-values."""
+    p = F.greatest(p, F.lit(1e-290))
+    return F.least(F.lit(1.0), p * (1 - F.ln(p) + F.ln(p) * F.ln(p) / 2))
+
+
 def _statistics(runs: Column) -> Column:
     """n, alphabet size, character codes and sum of squared character counts of each candidate."""
 
@@ -165,6 +255,8 @@ def _statistics(runs: Column) -> Column:
             F.length(alphabet).cast("double").alias("m"),
             F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")).alias("codes"),
             F.aggregate(times, F.lit(0.0), lambda a, x: a + x * x).alias("squares"),
+            *_signs_of_text(token),
+            F.xxhash64(token).alias("key"),
         )
 
     return F.transform(runs, one)
@@ -181,7 +273,7 @@ def _moments(runs: Column) -> Column:
         high = F.transform(codes, lambda v: (v > m / 2).cast("int"))
         total = F.aggregate(codes, F.lit(0.0), lambda a, v: a + v)
         return F.struct(
-            r["start"].alias("start"), r["end"].alias("end"), r["code"].alias("code"), n.alias("n"), m.alias("m"),
+            *[r[c].alias(c) for c in ("start", "end", "code", "key", "n", "m", "changes", "places", "frequent", "pairs")],
             (m / n * r["squares"] - n).alias("chi2"),
             F.aggregate(high, F.lit(0.0), lambda a, v: a + v).alias("n_high"),
             (1 + F.aggregate(neighbours(high, lambda x, y: F.abs(x - y)), F.lit(0), lambda a, v: a + v)).cast("double").alias("n_runs"),
@@ -212,13 +304,16 @@ def _verdicts(runs: Column) -> Column:
         s2, s3 = _pick(r["code"], [e[2] for e in ENCODINGS]), _pick(r["code"], [e[3] for e in ENCODINGS])
         mu = m + m * (n - 1) * s2 - n
         spread = 2 * n * (n - 1) * (s2 - s2 * s2) + 4 * n * (n - 1) * (n - 2) * F.greatest(s3 - s2 * s2, F.lit(1e-5))
-        p_text = _phi((r["chi2"] - mu) / (m / n * F.sqrt(spread)))
+        p_chi = _phi((r["chi2"] - mu) / (m / n * F.sqrt(spread)))
+        p_runs = _tail(r["changes"], r["places"], TEXT_CHANGES, True)
+        p_serial = _tail(r["frequent"], r["pairs"], TEXT_PAIRS, False)
+        p_text = _fisher(p_chi * p_runs * p_serial)
         random = (F.abs(z_runs) <= Z_RANDOM) & (F.abs(z_serial) <= Z_RANDOM) & (z_chi <= Z_RANDOM) & (r["code"] > 0)
         stratum = sum(((n >= s).cast("int") for s in STRATA[1:]), F.lit(0))
         depth = F.least(F.floor(-F.log10(p_text) * 20), F.lit(BINS - 1)).cast("int")
         return F.struct(
             r["start"].alias("start"), r["end"].alias("end"), random.alias("random"), stratum.alias("stratum"),
-            depth.alias("depth"),
+            depth.alias("depth"), r["key"].alias("key"),
         )
 
     return F.transform(runs, one)
@@ -227,8 +322,7 @@ def _verdicts(runs: Column) -> Column:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, and the judged candidates of every row."""
     df = base(docs)
-    df = df.withColumn("runs", _coded(F.col("run_at"), F.col("base"), F.col("run_text"))).drop("run_at", "run_text")
-    for step in (_statistics, _moments, _verdicts):
+    for step in (_coded, _statistics, _moments, _verdicts):
         df = df.withColumn("runs", step(F.col("runs")))
     return df
 
@@ -236,9 +330,9 @@ def score(docs: DataFrame) -> DataFrame:
 def thresholds(scored: DataFrame, fdr: float = FDR) -> list:
     """The least depth (-20 log10 p, floored) that Benjamini-Hochberg accepts, by stratum.
 
-    A bin counts as its largest p-value, 10^(-depth/20).
+    A bin counts as its largest p-value, 10^(-depth/20); copies of a candidate are one test.
     """
-    runs = scored.where(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.stratum", "r.depth")
+    runs = scored.where(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.stratum", "r.depth", "r.key").distinct()
     bins = runs.groupBy("stratum", "depth").agg(F.count("*").alias("n"))
     deeper = Window.partitionBy("stratum").orderBy(F.desc("depth"))
     ranked = bins.withColumns({
