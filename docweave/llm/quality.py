@@ -1,14 +1,20 @@
 """Quality rules as a short-circuit cascade.
 
-Every text gets the base figures (words, word characters, symbols, repeated
-lines, words in repeated three-word windows).  The rules behind the verdict
-run as a cascade: on a bounded sample each rule's cost (seconds per text) and
-selectivity (share of texts it rejects) are measured, the rules are ordered by
-rejections per second, and a text leaves the cascade at its first rejection.
-The order changes the work, never the verdict, which is that of all rules.
+Each rule asks for one or two figures of a text, which are computed when first
+asked for and shared between rules.  On a bounded sample, taken from partitions
+all over the table, every rule's cost (seconds a text, with the figures that it
+needs) and selectivity (share of texts that it rejects) are measured; rules are
+ordered by rejections per second, and a text leaves the cascade at its first
+rejection, so what later rules would have asked for is never computed.  The
+order changes the work, never the verdict, which is that of all rules.
+
+``judge`` reports the base figures of every text and therefore computes those
+always; ``keep_good`` computes only what the cascade asks for.
 
 Defined results: a null or empty text has no words and fails the base rule;
-repeated rows are judged each on their own; other columns are not looked at.
+very long texts are judged whole; repeated rows are judged each on their own;
+other columns, whatever their names, are not looked at; of an empty table the
+order of rules is that of their names, and there are no rows.
 """
 
 from __future__ import annotations
@@ -16,16 +22,19 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts
 
-#: Rows from which order of rules is estimated; the verdict does not depend on it.
+#: Rows from which the order of rules is estimated; the verdict does not depend on it.
 SAMPLE_ROWS = 256
+#: Partitions over which the sample is spread at most.
+SAMPLE_PARTITIONS = 64
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -35,23 +44,72 @@ SCHEMA = (
 _SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 _CAPS = re.compile("[A-Z]{2}")
+_LETTERS = re.compile(rb"[A-Za-z\x80-\xff][^\x20\x09-\x0d]*")
+_BULLETS = re.compile(r"^[ \t]*[-*\u2022]", re.MULTILINE)
+_ELLIPSES = re.compile(r"(?:\.\.\.|\u2026)[ \t\r]*$", re.MULTILINE)
 
 
 class Figures:
-    """What is known of one text; all is counted over the whole text."""
+    """What is known of one text; each figure is counted over the whole text when first asked for."""
 
     def __init__(self, text: str):
         self.text = text
-        self.raw = raw = text.encode("utf-8", "surrogatepass")
-        self.words = words = raw.split()  # bytes split at 20 and 09-0D alone
-        self.n_words = len(words)
-        self.word_chars = len(text.translate(_SPACES))
-        self.n_symbols = len(raw.translate(None, _NOT_SYMBOLS))
-        lines = [x for x in raw.split(b"\n") if x.strip()]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeat_words(words)
-        self.base_failed = self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()  # bytes split at 20 and 09-0D alone
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text.translate(_SPACES))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw.translate(None, _NOT_SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.raw.split(b"\n") if x.strip()]
+
+    @cached_property
+    def n_lines(self) -> int:
+        return len(self.lines)
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeat_words(self.words)
+
+    @cached_property
+    def n_capitals(self) -> int:
+        return len(_CAPS.findall(self.text))
+
+    @cached_property
+    def n_letter_words(self) -> int:
+        return len(_LETTERS.findall(self.raw))
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return len(_BULLETS.findall(self.text))
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return len(_ELLIPSES.findall(self.text))
+
+    @cached_property
+    def base_failed(self) -> bool:
+        return self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
 
 
 def repeat_words(words: list) -> int:
@@ -92,9 +150,15 @@ RULES: dict[str, Callable[[Figures], bool]] = {
     # words too short or too long on average for prose
     "lengths": lambda f: f.word_chars < 2 * f.n_words or f.word_chars > 12 * f.n_words,
     # shouting: pairs of adjacent capitals, more than one for every four words
-    "capitals": lambda f: 4 * len(_CAPS.findall(f.text)) > f.n_words,
+    "capitals": lambda f: 4 * f.n_capitals > f.n_words,
     # exclamation marks, more than one for every five words
     "exclaims": lambda f: 5 * f.raw.count(b"!") > f.n_words,
+    # a third of the words and more without any letter
+    "letters": lambda f: 3 * f.n_letter_words < 2 * f.n_words,
+    # nine of ten lines are items of a list
+    "bullets": lambda f: 10 * f.n_bullets > 9 * f.n_lines,
+    # three of ten lines break off
+    "ellipses": lambda f: 10 * f.n_ellipses > 3 * f.n_lines,
 }
 
 
@@ -106,19 +170,48 @@ def cascade(f: Figures, order: list[str]) -> tuple[bool, int, str | None]:
     return True, len(order), None
 
 
-def rule_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by rejections per second on at most ``sample_rows`` texts, names breaking ties.
+def passes(f: Figures, order: list[str]) -> bool:
+    """The verdict alone: what the base rule says of repeats, ``repeats`` says of fewer."""
+    return f.n_words >= 50 and cascade(f, order)[0]
+
+
+def sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """About ``sample_rows`` texts, the first few of up to SAMPLE_PARTITIONS partitions spread over the table."""
+    texts = id_and_text(docs).select("text")
+    n = texts.rdd.getNumPartitions()
+    step = max(1, n // SAMPLE_PARTITIONS)
+    each = -(-sample_rows // max(1, n // step))
 
-    The driver takes the sample from the first partitions that have rows.
-    """
-    figures = [Figures(r.text) for r in id_and_text(docs).select("text").take(sample_rows)]
-    figures = [f for f in figures if not f.base_failed]
-    rate = {}
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = each if TaskContext.get().partitionId() % step == 0 else 0
+        while left and (b := next(it, None)) is not None:
+            yield b.slice(0, left)
+            left -= min(left, b.num_rows)
+
+    return [r.text for r in texts.mapInArrow(first, "text string").collect()]
+
+
+def measured(texts: list[str]) -> dict[str, tuple[float, float]]:
+    """(seconds a text, share rejected) of each rule, every figure computed anew for each rule."""
+    texts = [t for t in texts if Figures(t).n_words >= 50]
+    out = {}
     for name, rule in RULES.items():
+        figures = [Figures(t) for t in texts]
+        for f in figures:  # known before the cascade begins
+            f.n_words  # noqa: B018
         began = time.perf_counter()
         hits = sum(map(rule, figures))
-        rate[name] = (hits + 0.5) / max(time.perf_counter() - began, 1e-9)
-    return sorted(RULES, key=lambda name: (-rate[name], name))
+        out[name] = ((time.perf_counter() - began) / max(1, len(texts)), (hits + 0.5) / (len(texts) + 1))
+    return out
+
+
+def rule_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rules by rejections per second on the sample, names breaking ties."""
+    texts = sample(docs, sample_rows)
+    if not texts:
+        return sorted(RULES)
+    figures = measured(texts)
+    return sorted(RULES, key=lambda name: (-figures[name][1] / max(figures[name][0], 1e-9), name))
 
 
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -148,9 +241,8 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     def passing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = b.column(names.index("text")).to_pylist()
-            figures = (Figures(t or "") for t in texts)
-            yield b.filter(pa.array([not f.base_failed and cascade(f, order)[0] for f in figures], pa.bool_()))
+            texts = b.column(names.index("text"))
+            yield b.filter(pa.array([passes(Figures(t.as_py() or ""), order) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(passing, docs.schema)
 
@@ -186,7 +278,10 @@ f AS (
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          coalesce(n_lines, 0) AS n_lines,
          len(regexp_extract_all(text, '[A-Z][A-Z]')) AS n_caps,
-         length(text) - length(replace(text, '!', '')) AS n_exclaims
+         length(text) - length(replace(text, '!', '')) AS n_exclaims,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS n_letter_words,
+         len(regexp_extract_all(text, '(?m)^[ \t]*[-*\x{2022}]')) AS n_bullets,
+         len(regexp_extract_all(text, '(?m)(?:\.\.\.|\x{2026})[ \t\r]*$')) AS n_ellipses
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN lines USING (rid)
 ),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
@@ -194,6 +289,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (
          10 * n_symbols > n_words OR 5 * n_repeat_words > 2 * n_words OR 2 * n_dup_lines > n_lines
          OR word_chars < 2 * n_words OR word_chars > 12 * n_words
-         OR 4 * n_caps > n_words OR 5 * n_exclaims > n_words) AS kept
+         OR 4 * n_caps > n_words OR 5 * n_exclaims > n_words OR 3 * n_letter_words < 2 * n_words
+         OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines) AS kept
 FROM b
 """
