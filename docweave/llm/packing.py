@@ -6,12 +6,17 @@ in descending length, each into the open window with the least room that still
 holds it.  A segment tree over the remaining capacities 1..window finds that
 window in log2(window) steps.
 
-Each partition packs its own pieces, in groups of at most GROUP_PIECES
-leftovers, so memory is bounded and no piece is shuffled; window numbers are
-partition * 2^40 + running number.
-
-Defined results: a null or empty text is the end id alone; repeated rows are
-separate documents; empty tables give no rows.
+Documents are encoded where they lie and cut into pieces.  The figures of the
+leftovers alone (piece number and length, a few bytes a document) are dealt out
+in groups of about GROUP_PIECES, however many partitions the documents have,
+and each group is packed by itself: memory is bounded, and what a group's last
+windows leave empty is little.  Ids, where they are wanted, are joined to the
+packed figures, so windows are the same with and without them.
+
+Defined results: a null or empty text is the end id alone; very long texts are
+cut into full windows and one leftover; repeated rows are separate documents,
+which only their pieces' numbers tell apart; other columns, whatever their
+names, are not looked at; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import PLAIN_TEXT, byte_letters, id_and_text, tokenizer
+from .common import PLAIN_TEXT, byte_letters, id_and_text, tokenizer, written
 
 WINDOW = 1024
-#: Leftovers that are packed together at most (their figures are in memory, not their ids).
-GROUP_PIECES = 500_000
+#: Leftovers that are packed together, about (their figures are in memory, not their ids).
+GROUP_PIECES = 50_000
 
 
 class RoomTree:
@@ -126,72 +131,65 @@ def encoder(path: str) -> ByteEncoder:
 
 
 _COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+_PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row per piece; with ``with_ids`` also its ids, so that windows can be put together."""
-    schema = ", ".join(f"{c} bigint" for c in _COLUMNS) + ", ids array<int>" * with_ids
-
-    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        base = TaskContext.get().partitionId() << 40
-        n_windows = 0
-        end = np.array([end_id], "<u4")
-
-        def rows(cols: list[list], where, offset) -> pa.RecordBatch:
-            arrays = [pa.array(c, pa.int64()) for c in [*cols[:5], base + np.asarray(where, np.int64), offset]]
-            if with_ids:
-                arrays.append(pa.array(cols[5], pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, names=[*_COLUMNS, *["ids"] * with_ids])
-
-        full: list[list] = [[] for _ in range(5 + with_ids)]
-        rest: list[list] = [[] for _ in range(5 + with_ids)]
-
-        def put(to: list[list], doc_id, start: int, ids: np.ndarray, total: int) -> None:
-            for col, x in zip(to, (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, ids)):
-                col.append(x)
-
-        def flush_full():
-            nonlocal n_windows
-            n, n_windows = n_windows, n_windows + len(full[0])
-            out = rows(full, np.arange(n, n_windows), np.zeros(n_windows - n, np.int64))
-            for c in full:
-                c.clear()
-            return out
-
-        def flush_rest():
-            nonlocal n_windows
-            where, offset, n = best_fit_decreasing(np.array(rest[2], np.int64), window)
-            out = rows(rest, where + n_windows, offset)
-            n_windows += n
-            for c in rest:
-                c.clear()
-            return out
+def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """Pieces of every document, at most ``window`` ids each; with ``with_ids`` their ids as 32-bit integers."""
+    names = [c.split()[0] for c in _PIECES.split(", ")] + ["ids"] * with_ids
+    types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
 
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(path), np.array([end_id], "<u4")
         for b in it:
+            cols: list[list] = [[] for _ in names]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.concatenate([encode(text.as_py()), end])
-                n, cut = len(ids), len(ids) - len(ids) % window
-                for start in range(0, cut, window):
-                    put(full, doc_id, start, ids[start : start + window], n)
-                if cut < n:
-                    put(rest, doc_id, cut, ids[cut:], n)
-                if len(full[0]) >= 20_000:
-                    yield flush_full()
-                if len(rest[0]) >= (GROUP_PIECES if not with_ids else GROUP_PIECES // 25):
-                    yield flush_rest()
-        if full[0]:
-            yield flush_full()
-        if rest[0]:
-            yield flush_rest()
-
-    return id_and_text(docs).mapInArrow(packed, schema)
+                for start in range(0, len(ids), window):
+                    part = ids[start : start + window]
+                    for col, x in zip(cols, (doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), part)):
+                        col.append(x)
+                if len(cols[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                    cols = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return id_and_text(docs).mapInArrow(cut, _PIECES + ", ids array<int>" * with_ids)
+
+
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """One row per piece; with ``with_ids`` also its ids, so that windows can be put together."""
+    cut = written(pieces(docs, path, end_id, window, with_ids).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    full = cut.where(F.col("length") == window).withColumns({"sequence_id": 2 * F.col("piece"), "offset": F.lit(0).cast("long")})
+    rest = cut.where(F.col("length") < window)
+    groups = max(1, -(-rest.count() // GROUP_PIECES))
+    held = ["piece", "length"] if with_ids else ["piece", *_COLUMNS[:5]]
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(it)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        order = np.argsort(table.column("piece").to_numpy())  # the same windows if the task is run again
+        piece = table.column("piece").to_numpy()[order]
+        where, offset, n = best_fit_decreasing(table.column("length").to_numpy()[order], window)
+        first = np.empty(n, np.int64)  # a window has the number of the piece that it begins with
+        first[where[offset == 0]] = piece[offset == 0]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        table = table.append_column("sequence_id", pa.array(2 * first[where[back]] + 1))
+        yield from table.append_column("offset", pa.array(offset[back])).to_batches(max_chunksize=20_000)
+
+    schema = ", ".join(f"{c} bigint" for c in held) + ", sequence_id bigint, offset bigint"
+    placed = rest.select(*held).repartition(groups, "piece").mapInArrow(packed, schema)
+    if with_ids:
+        placed = rest.join(placed.drop("length"), "piece")
+    out = [*_COLUMNS, "ids"] if with_ids else [*_COLUMNS]
+    return full.select(*out).unionByName(placed.select(*out))
 
 
 def padding(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Windows, ids and padding of packed pieces; a window filled to a power of two is not padded."""
-    from pyspark.sql import functions as F
-
     used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used"))
     pad = F.when(F.col("used").bitwiseAND(F.col("used") - 1) == 0, 0).otherwise(window - F.col("used"))
     return used.agg(F.count("*").alias("windows"), F.sum("used").alias("ids"), F.sum(pad).alias("padding"))
