@@ -1,6 +1,6 @@
 """BPE encoding by a pair-occurrence index, and decoding.
 
-The distinct words of a batch lie end to end in one symbol array with links to
+The distinct words of a batch that the partition has not held before lie end to end in one symbol array with links to
 the left and right neighbour.  An index maps every adjacent pair that the
 vocabulary can merge, by its rank, to all positions where the pair stands.
 Active ranks are taken in ascending order; a rank is applied at all of its
@@ -13,19 +13,23 @@ ranks after the merges that build its two parts; the loader checks that.
 
 Defined results: a null text is an empty one and has no tokens; texts of any
 length and script are encoded whole; the strings of special tokens inside a
-text become those tokens, as in the library; repeated rows give repeated rows.
+text become those tokens, as in the library; repeated rows give repeated rows;
+other columns, whatever their names, are not looked at; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import PLAIN_TEXT, PLAIN_WORDS, byte_letters, id_and_text, map_texts, tokenizer
 
@@ -64,7 +68,9 @@ class WordVocabulary:
         self.final = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int32)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.names = dict(zip(self.vocab.values(), self.vocab)) | {i: s for s, i in self.specials.items()}
+        names = dict(zip(self.vocab.values(), self.vocab)) | {i: s for s, i in self.specials.items()}
+        #: string of each id, None where there is none
+        self.names = np.array([names.get(i) for i in range(max(names) + 1)], object)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge."""
@@ -175,15 +181,14 @@ def encode_words(v: WordVocabulary, words: list[bytes]) -> list[np.ndarray]:
 
 
 class WordStore:
-    """word -> (ids as little-endian unsigned 32-bit integers, number of ids, decoded string)."""
+    """word -> (ids as little-endian unsigned 32-bit integers, number of ids)."""
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.kept: dict = {}
 
-    def entry(self, ids: np.ndarray) -> tuple[bytes, int, str]:
-        names = self.v.names
-        return ids.astype("<u4").tobytes(), len(ids), " ".join([names[i] for i in ids.tolist()])
+    def entry(self, ids: np.ndarray) -> tuple[bytes, int]:
+        return ids.astype("<u4").tobytes(), len(ids)
 
     def look_up(self, texts: list[list]) -> dict:
         """A mapping that holds every word of these texts."""
@@ -226,48 +231,50 @@ def in_groups(texts: list[str], size: int = GROUP_CHARS):
 
 
 def encode_batch(path: str, texts: list[str]):
-    """(ids as bytes, number of ids, decoded text) of each text."""
+    """(ids as bytes, number of ids) of each text."""
     store = word_store(path)
     for part in in_groups(texts):
         split = [store.v.words(t) for t in texts[part]]
         known = store.look_up(split)
         for words in split:
             found = [known[w] for w in words]
-            yield (
-                b"".join([e[0] for e in found]),
-                sum([e[1] for e in found]),
-                " ".join([e[2] for e in found]),
-            )
+            yield b"".join([e[0] for e in found]), sum([e[1] for e in found])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens and decoded text."""
+    """doc_id, ids (little-endian unsigned 32-bit integers) and n_tokens."""
 
     def rows(keys: list, texts: list) -> dict:
         out = list(encode_batch(path, texts))
-        return {"doc_id": keys, "ids": [x[0] for x in out], "n_tokens": [x[1] for x in out], "decoded": [x[2] for x in out]}
+        return {"doc_id": keys, "ids": [x[0] for x in out], "n_tokens": [x[1] for x in out]}
 
-    return map_texts(id_and_text(docs), "doc_id bigint, ids binary, n_tokens bigint, decoded string", rows)
+    return map_texts(id_and_text(docs), "doc_id bigint, ids binary, n_tokens bigint", rows)
 
 
 def decode(ids: bytes | np.ndarray, path: str) -> str:
-    """The library's decoding of ids: this vocabulary has no decoder, so token strings stand apart."""
+    """The library's decoding of ids: this vocabulary has no decoder, so token strings stand apart.
+
+    Ids that the vocabulary does not know are left out.
+    """
     names = vocabulary(path).names
-    seq = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
-    return " ".join([names[i] for i in seq.tolist() if i in names])
+    seq = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids)
+    known = names[seq[seq < len(names)]].tolist()
+    return " ".join(known if None not in known else [x for x in known if x is not None])
 
 
-def query(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of ids and of the decoded text, made where the text is encoded."""
+def decoded(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of ``encode`` with a column ``text``, decoded from their ids alone."""
 
-    def rows(keys: list, texts: list) -> dict:
-        n, ids, decoded = [], [], []
-        for raw, count, text in encode_batch(path, texts):
-            n.append(count)
-            ids.append(hashlib.sha256(raw).hexdigest())
-            decoded.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
-        return {"doc_id": keys, "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
-
-    return map_texts(
-        id_and_text(docs), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = [decode(i.as_py(), path) for i in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+
+    return encoded.mapInArrow(rows, "doc_id bigint, ids binary, n_tokens bigint, text string")
+
+
+def query(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of every document's ids, and of the text that is decoded from them."""
+    return decoded(encode(docs, path), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
