@@ -12,15 +12,22 @@ left and leads back to the start.  States and transitions are compiled when
 first needed, into dense tables of bounded size.
 
 The words of a batch of texts form one stream of bytes, cut into chunks of
-CHUNK bytes.  The map of a chunk (state before -> state after, tokens emitted)
-is fixed from the chunk's first word end on, since every state goes back to
-the start there; only the head before it depends on the state before.  All
-chunk bodies are run in lockstep; then maps compose in a prefix scan: a head
-is run from the exit state that its left neighbour has, and a chunk without
-any word end passes on the state that its head leads to.
-
-Defined results: a null or empty text has no bytes and no tokens; texts of any
-length and script are counted whole; strings of special tokens count one.
+CHUNK bytes.  The map of a chunk takes the state before to the state after and
+the tokens emitted.  From a chunk's first word end on the map is fixed, since
+every state goes back to the start there.  A chunk inside a long word has no
+word end; its map is held at the states that can occur: a guess (what a few
+bytes before it lead to) and whatever its left neighbour's map yields, until
+no neighbour yields a new one.  Maps then compose in a parallel prefix scan, by
+pointer doubling.  All lanes run in lockstep.
+
+Spans of at most SPAN bytes are counted one after the other, and the state at
+a span's end is carried on.  If a span would need more than MAX_STATES states,
+tables and caches are emptied and it is cut in half.
+
+Defined results: a null or empty text has no bytes and no tokens; texts and
+words of any length and script are counted whole; strings of special tokens
+count one; repeated rows give repeated rows; other columns, whatever their
+names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,11 +42,21 @@ from .common import PLAIN_TEXT, PLAIN_WORDS, id_and_text, map_texts
 
 CHUNK = 512
 LIMIT = 2048
-#: States of the compiled tables; beyond that they are compiled anew.
-MAX_STATES = 1 << 18
+#: Bytes that are counted together.
+SPAN = 1 << 20
+#: Bytes before a chunk that the guess of its entry state is made from.
+WARM = 64
+#: States of the compiled tables at most; at that number they are compiled anew.
+MAX_STATES = 1 << 17
+#: Known agreements of token pairs at most.
+MAX_AGREEMENTS = 1 << 20
 _END = 0x0A  # cannot be inside a word
 
 
+class _Full(Exception):
+    """The tables hold MAX_STATES states."""
+
+
 class Transducer:
     """Deterministic automaton over word bytes, compiled on demand."""
 
@@ -69,8 +86,6 @@ class Transducer:
                 node = self.child[node][b]
             (self.final if at_end else self.inner)[node] = token
             self.bytes_of[token] = raw
-        self.inner_agree: dict[tuple[int, int], bool] = {}
-        self.final_agree: dict[tuple[int, int], bool] = {}
         self.rank = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(v.left, v.right, v.made))}
         self.reset()
 
@@ -79,6 +94,8 @@ class Transducer:
         return set(self.v.made.tolist())
 
     def reset(self) -> None:
+        self.inner_agree: dict[tuple[int, int], bool] = {}
+        self.final_agree: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         #: column of each byte in the tables, given out as bytes are met
@@ -100,6 +117,8 @@ class Transducer:
 
     def state(self, hypotheses: tuple) -> int:
         if hypotheses not in self.states:
+            if len(self.sets) >= MAX_STATES:
+                raise _Full
             n = self.states[hypotheses] = len(self.sets)
             self.sets.append(hypotheses)
             if n >= len(self.next):
@@ -113,6 +132,8 @@ class Transducer:
             return True
         known = self.final_agree if at_end else self.inner_agree
         if (a, b) not in known:
+            if len(known) >= MAX_AGREEMENTS:
+                known.clear()
             known[a, b] = self._encode(self.bytes_of[a] + self.bytes_of[b], at_end) == [a, b]
         return known[a, b]
 
@@ -174,38 +195,114 @@ class Transducer:
 
     def count(self, stream: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Tokens of each piece stream[bounds[i]:bounds[i + 1]]; a piece ends with a word end or is empty."""
-        if len(self.sets) > MAX_STATES:
-            self.reset()
-        self.columns(np.unique(stream))
-        breaks = np.flatnonzero(stream == _END) + 1
-        stream = self.column[stream].astype(np.uint8)
         sizes = np.diff(bounds)
         chunks = -(-sizes // CHUNK)
         piece = np.repeat(np.arange(len(sizes)), chunks)
-        if not len(piece):
-            return np.zeros(len(sizes), np.int64)
         nth = np.arange(len(piece)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
         begin = bounds[piece] + nth * CHUNK
         end = np.minimum(begin + CHUNK, bounds[piece + 1])
-        sync = breaks[np.minimum(np.searchsorted(breaks, begin, side="right"), len(breaks) - 1)]
-        sync = np.where(nth == 0, begin, sync)  # a piece starts at the start state
-        synced = sync <= end
-        body = np.where(synced, sync, end)
-        start = np.full(len(piece), self.start, np.int64)
-        exits, total = self.run(start, stream, body, end)
-        # prefix scan: a head runs once the state before it is known
-        head = np.flatnonzero(nth > 0)
-        known = synced.copy()
-        while len(head):
-            ready = head[known[head - 1]]
-            after, more = self.run(exits[ready - 1], stream, begin[ready], body[ready])
-            total[ready] += more
-            loose = ~synced[ready]
-            exits[ready[loose]] = after[loose]
-            head = head[~known[head - 1]]
-            known[ready] = True
+        breaks = np.flatnonzero(stream == _END) + 1
+        total = np.zeros(len(piece), np.int64)
+        at, most, carried = 0, max(1, SPAN // CHUNK), self.sets[self.start]
+        while at < len(piece):
+            to = slice(at, min(at + most, len(piece)))
+            try:
+                total[to], after = self._span(stream, begin[to], end[to], nth[to] > 0, breaks, self.state(carried))
+            except _Full:
+                self.reset()
+                if to.stop - at > 1:
+                    most = (to.stop - at) // 2
+                elif len(self.states) == 1 and self._only_chunk_failed(at):
+                    raise
+                continue
+            carried, at = self.sets[after], to.stop
+            most = min(2 * most, max(1, SPAN // CHUNK))
+        self._failed = -1
         return np.bincount(piece, total, len(sizes)).astype(np.int64)
 
+    _failed = -1
+
+    def _only_chunk_failed(self, at: int) -> bool:
+        """Whether a chunk alone, in empty tables, was too much before."""
+        again, self._failed = self._failed == at, at
+        return again
+
+    def _span(
+        self, stream: np.ndarray, begin: np.ndarray, end: np.ndarray, inside: np.ndarray, breaks: np.ndarray, state: int
+    ) -> tuple[np.ndarray, int]:
+        """Tokens of each chunk, and the state after the last.
+
+        ``inside`` says which chunks go on with the piece of the chunk before
+        them; ``state`` is that before the first chunk, if it is such a one.
+        """
+        low = max(0, int(begin[0]) - WARM)
+        used = np.unique(stream[low : int(end[-1])])
+        self.columns(used)
+        stream, base = self.column[stream[low : int(end[-1])]].astype(np.uint8), low
+        begin, end = begin - base, end - base
+        breaks = breaks[np.searchsorted(breaks, base + begin[0], side="right") :] - base
+        n = len(begin)
+        if len(breaks):
+            sync = breaks[np.minimum(np.searchsorted(breaks, begin, side="right"), len(breaks) - 1)]
+            sync = np.where(sync > begin, sync, end + 1)
+        else:
+            sync = end + 1
+        sync = np.where(inside, sync, begin)  # a piece starts at the start state
+        fixed = sync <= end
+        start = np.full(n, self.start, np.int64)
+        exits, total = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        lanes = np.flatnonzero(fixed)
+        exits[lanes], total[lanes] = self.run(start[lanes], stream, sync[lanes], end[lanes])
+
+        loose = np.flatnonzero(~fixed)
+        if len(loose):
+            self._compose(stream, begin, end, loose, exits, total, state)
+        # what stands before the first word end, from the state before it
+        head = np.flatnonzero(fixed & inside)
+        before = np.where(head > 0, exits[head - 1], state)
+        total[head] += self.run(before, stream, begin[head], sync[head])[1]
+        return total, int(exits[-1])
+
+    def _compose(
+        self, stream: np.ndarray, begin: np.ndarray, end: np.ndarray, loose: np.ndarray, exits: np.ndarray, total: np.ndarray, state: int
+    ) -> None:
+        """Exits and totals of chunks without a word end, by a prefix scan over their maps."""
+        is_loose = np.zeros(len(begin) + 1, bool)
+        is_loose[loose] = True
+        first = loose[~is_loose[loose - 1] | (loose == 0)]  # the first of each run of such chunks
+        warm = np.maximum(begin[loose] - WARM, 0)
+        guess = self.run(np.full(len(loose), self.start, np.int64), stream, warm, begin[loose])[0]
+        entry = np.where(first > 0, exits[first - 1], state)
+        wanted = sorted({*zip(loose.tolist(), guess.tolist()), *zip(first.tolist(), entry.tolist())})
+        number: dict[tuple[int, int], int] = {}  # the maps: (chunk, state before) -> its place in the lists below
+        after: list[int] = []
+        counts: list[int] = []
+        while wanted:
+            chunk, before = (np.array(x, np.int64) for x in zip(*wanted))
+            to, more = self.run(before, stream, begin[chunk], end[chunk])
+            for key in wanted:
+                number[key] = len(number)
+            after += to.tolist()
+            counts += more.tolist()
+            follows = ((c + 1, s) for c, s in zip(chunk.tolist(), to.tolist()) if is_loose[c + 1])
+            wanted = sorted({x for x in follows if x not in number})
+        place = np.full(len(number), -1, np.int64)
+        chunk_of = np.array([c for c, _ in number], np.int64)
+        for (c, _), i in number.items():
+            if is_loose[c + 1]:
+                place[i] = number[c + 1, after[i]]
+        # which entries occur: pointer doubling from the first chunk of each run
+        live = np.zeros(len(number), bool)
+        live[[number[x] for x in zip(first.tolist(), entry.tolist())]] = True
+        step = place
+        while (step >= 0).any():
+            reached = step[live]
+            live[reached[reached >= 0]] = True
+            step = np.where(step >= 0, step[step], -1)
+        on = np.flatnonzero(live)
+        exits[chunk_of[on]] = np.array(after, np.int64)[on]
+        total[chunk_of[on]] = np.array(counts, np.int64)[on]
+
 
 @functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
