@@ -1,11 +1,13 @@
 """Token-id output as sorted-string-table shards.
 
-Documents are dealt out by ranges of doc_id, sorted, encoded, and each range
-is written as one shard file:
+Documents are dealt out by ranges of doc_id of about SHARD_DOCS documents,
+sorted, encoded, and each range is written as one shard file.  A shard is
+streamed: memory holds one block, one Bloom filter being filled, the finished
+filters (BLOOM_BITS_PER_KEY a key) and an index entry a block.
 
     block*      records sorted by key, in blocks of about BLOCK_BYTES
     index       one entry a block: its first key, offset, length, records
-    bloom       Bloom filter over the keys
+    bloom       Bloom filters over the keys, one for each BLOOM_KEYS of them in order
     footer      fixed size: places of index and bloom, counts, id width, magic
 
 A record is ``varint shared | varint rest | varint value bytes | rest of key |
@@ -19,8 +21,10 @@ A shard is written under another name and then moved, so a task that is run
 again replaces the same file with the same bytes.  ``lookup`` finds documents
 by the shards' key ranges, Bloom filter, and binary search in the sparse index.
 
-Defined results: a null or empty text holds the end id alone; rows that repeat
-a doc_id are all kept, next to each other, ordered by a hash of their text.
+Defined results: a null or empty text holds the end id alone; very long texts
+are one record; rows that repeat a doc_id are all kept, next to each other,
+ordered by a hash of their text, in several shards if they are many; other
+columns, whatever their names, are not looked at; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -42,10 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_TEXT, PLAIN_WORDS, byte_letters, id_and_text, shared_dir, tokenizer
+from .common import PLAIN_TEXT, PLAIN_WORDS, byte_letters, filesystem, id_and_text, shared_dir, tokenizer
 
-MAGIC = b"TKSST001"
+MAGIC = b"TKSST002"
 BLOCK_BYTES = 1 << 16
+#: Documents of a shard, about; there are as many shards as cores at least.
+SHARD_DOCS = 200_000
+BLOOM_KEYS = 1 << 15
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 _FOOTER = struct.Struct("<QQQQQQII8s")
@@ -126,10 +133,13 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_places(key: bytes, bits: int) -> list[int]:
+_BLOOM_BITS = BLOOM_KEYS * BLOOM_BITS_PER_KEY
+
+
+def _bloom_places(key: bytes) -> list[int]:
     h = xxhash.xxh3_128_intdigest(key)
     a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
+    return [(a + i * b) % _BLOOM_BITS for i in range(BLOOM_HASHES)]
 
 
 class ShardWriter:
@@ -139,7 +149,8 @@ class ShardWriter:
         self.out, self.width = out, width
         self.at = self.n_docs = self.n_tokens = 0
         self.index: list[tuple[bytes, int, int, int]] = []
-        self.keys: list[bytes] = []
+        self.blooms: list[tuple[bytes, bytearray]] = []
+        self.n_keys, self.key = 0, None
         self.compress = zstandard.ZstdCompressor(level=1).compress
         self._start()
 
@@ -157,12 +168,22 @@ class ShardWriter:
         self.held += len(record)
         self.last = key
         self.count += 1
-        self.keys.append(key)
+        if key != self.key:
+            self._remember(key)
         self.n_docs += 1
         self.n_tokens += len(ids)
         if self.held >= BLOCK_BYTES:
             self._flush()
 
+    def _remember(self, key: bytes) -> None:
+        if self.n_keys % BLOOM_KEYS == 0:
+            self.blooms.append((key, bytearray(_BLOOM_BITS // 8)))
+        bits = self.blooms[-1][1]
+        for p in _bloom_places(key):
+            bits[p >> 3] |= 1 << (p & 7)
+        self.n_keys += 1
+        self.key = key
+
     def _flush(self) -> None:
         if self.count:
             data = self.compress(b"".join(self.block))
@@ -175,14 +196,9 @@ class ShardWriter:
     def finish(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _INDEX.pack(o, n, c) for k, o, n, c in self.index)
-        distinct = set(self.keys)
-        bits = max(64, BLOOM_BITS_PER_KEY * len(distinct) + 7 & ~7)
-        bloom = np.zeros(bits // 8, np.uint8)
-        for k in distinct:
-            for p in _bloom_places(k, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bloom = b"".join(bytes([len(k)]) + k + bits for k, bits in self.blooms)
         self.out.write(index)
-        self.out.write(bloom.tobytes())
+        self.out.write(bloom)
         self.out.write(
             _FOOTER.pack(
                 self.at, len(index), self.at + len(index), len(bloom), self.n_docs, self.n_tokens,
@@ -195,7 +211,7 @@ class Shard:
     """Reads one shard file of any file system that pyarrow knows."""
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         footer = self.file.read_at(_FOOTER.size, size - _FOOTER.size)
@@ -230,9 +246,16 @@ class Shard:
             at += n
 
     def may_hold(self, key: bytes) -> bool:
+        """Whether the filter for keys from this place in their order on knows the key."""
         if self.bloom is None:
-            self.bloom = self.file.read_at(self.bloom_len, self.bloom_at)
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, 8 * self.bloom_len))
+            raw, at, self.bloom = self.file.read_at(self.bloom_len, self.bloom_at), 0, []
+            while at < len(raw):
+                n = raw[at]
+                bits = at + 1 + n
+                self.bloom.append((raw[at + 1 : bits], raw[bits : bits + _BLOOM_BITS // 8]))
+                at = bits + _BLOOM_BITS // 8
+        i = bisect.bisect_right(self.bloom, key, key=lambda x: x[0]) - 1
+        return i >= 0 and all(self.bloom[i][1][p >> 3] >> (p & 7) & 1 for p in _bloom_places(key))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every record of that key."""
@@ -253,16 +276,14 @@ MANIFEST = "shard long, uri string, first_id bigint, last_id bigint, n_docs bigi
 def write(docs: DataFrame, path: str, end_id: int, to: str) -> list:
     """Write shards below the folder ``to``; the manifest, one row a shard in key order.
 
-    The number of shards follows the shuffle partitions, so the manifest on
-    the driver is bounded by that setting and not by the documents.
+    The manifest on the driver has a row for about SHARD_DOCS documents.  Rows
+    that are equal in doc_id and text may stand in different shards, so many of
+    them do not meet in one task.
     """
-    ordered = (
-        id_and_text(docs)
-        .withColumn("_tie", F.xxhash64("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie", "text")
-        .select("doc_id", "text")
-    )
+    rows = id_and_text(docs).withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // SHARD_DOCS))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
+    ordered = rows.repartitionByRange(n, *by, F.col("_row")).sortWithinPartitions(*by, "text").select("doc_id", "text")
 
     def shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -270,7 +291,7 @@ def write(docs: DataFrame, path: str, end_id: int, to: str) -> list:
         end = np.array([end_id], "<u4")
         number = TaskContext.get().partitionId()
         writer = stream = first = last = None
-        fs, root = pafs.FileSystem.from_uri(to)
+        fs, root = filesystem(to)
         name, temp = f"{root}/shard-{number:06d}.sst", f"{root}/.shard-{number:06d}-{uuid.uuid4().hex}"
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -290,7 +311,17 @@ def write(docs: DataFrame, path: str, end_id: int, to: str) -> list:
                 names=["shard", "uri", "first_id", "last_id", "n_docs", "n_tokens"],
             )
 
-    return sorted(ordered.mapInArrow(shard, MANIFEST).collect(), key=lambda r: r.shard)
+    manifest = sorted(ordered.mapInArrow(shard, MANIFEST).collect(), key=lambda r: r.shard)
+    _remove_unfinished(to)
+    return manifest
+
+
+def _remove_unfinished(to: str) -> None:
+    """Delete what attempts that failed have left."""
+    fs, root = filesystem(to)
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(".shard-"):
+            fs.delete_file(f.path)
 
 
 def read(spark: SparkSession, manifest: list, with_ids: bool = False) -> DataFrame:
