@@ -12,12 +12,18 @@ selections the more probable stays.
 The trees are fitted on the driver on TRAIN_ROWS labelled candidates that
 ``synthetic`` writes (fixed seed); their number is this documented bound.
 
-Defined results: a null or empty text has no spans; equal texts have equal
-spans; offsets are code points of the whole text.
+Proposals are merged with the base spans in order, so a text's cost grows with
+its length and, but for sorting, with its number of spans.
+
+Defined results: a null or empty text has no spans; repeated rows and equal
+texts have equal spans; other columns, whatever their names, are not looked at
+(``redact`` also sets ``n_chars`` where there is one); offsets are code points
+of the whole text, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -95,6 +101,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 _AT = r"(?:\(at\)|\[at\]|\{at\}|&#64;|\bat\b|@)"
 _DOT = r"(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b|\.)"
 _AROUND_AT = re.compile(r"\(at\)|\[at\]|\{at\}|&#64;|\bat\b", re.IGNORECASE)
+#: What sets a spelled address apart from prose; it must stand in the span itself.
+_SPELLED = re.compile(r"[(\[{]at[)\]}]|&#64;|dot", re.IGNORECASE)
 _BEFORE_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?\Z")
 _AFTER_AT = re.compile(rf" ?[A-Za-z0-9-]{{1,63}}(?: ?{_DOT} ?[A-Za-z0-9-]{{1,63}}){{1,4}}", re.IGNORECASE)
 
@@ -120,7 +128,8 @@ def proposals(text: str) -> list[tuple[int, str, int]]:
             left = text[max(0, m.start() - 66) : m.start()]
             if (a := _BEFORE_AT.search(left)) and (b := _AFTER_AT.match(text, m.end())):
                 start = m.start() - len(left) + a.start()
-                out.append((start, "email_spelled", b.end()))
+                if _SPELLED.search(text, start, b.end()):
+                    out.append((start, "email_spelled", b.end()))
     return out
 
 
@@ -275,8 +284,28 @@ def fit(rows: int = TRAIN_ROWS, seed: int = 7) -> tuple[BoostedTrees, dict[str,
     return model, cut
 
 
-def overlaps(a: tuple, b: tuple) -> bool:
-    return a[0] < b[2] and b[0] < a[2]
+class Places:
+    """Disjoint intervals in order; touching and overlapping ones are one."""
+
+    def __init__(self, spans: list[tuple[int, str, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in spans:  # by start
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlap(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Enter an interval that overlaps none."""
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
 
 
 def select(texts: list[str], model: BoostedTrees, cut: dict[str, float]) -> list[tuple[list, list]]:
@@ -285,19 +314,20 @@ def select(texts: list[str], model: BoostedTrees, cut: dict[str, float]) -> list
     for i, text in enumerate(texts):
         base = base_spans(text)
         out.append((base, list(base)))
+        held = Places(base)
         for s in proposals(text):
-            if not any(overlaps(s, b) for b in base):
+            if not held.overlap(s[0], s[2]):
                 asked.append(features(text, *s))
                 where.append((i, s))
     if asked:
         p = model.probability(np.array(asked, float))
         ranked = sorted(zip(p.tolist(), where), key=lambda x: (x[1][0], -x[0], x[1][1][0], KINDS[x[1][1][1]], x[1][1][2]))
-        taken: dict[int, list] = {}
+        taken: dict[int, Places] = {}
         for prob, (i, s) in ranked:
-            if prob >= cut[s[1]] and not any(overlaps(s, t) for t in taken.get(i, ())):
-                taken.setdefault(i, []).append(s)
-        for i, more in taken.items():
-            out[i][1].extend(more)
+            if prob >= cut[s[1]] and not (held := taken.setdefault(i, Places())).overlap(s[0], s[2]):
+                held.add(s[0], s[2])
+                out[i][1].append(s)
+        for i in taken:
             out[i][1].sort(key=lambda s: (s[0], KINDS[s[1]], s[2]))
     return out
 
@@ -307,7 +337,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: counts and digest of the base, and all spans."""
+    """One row per row of ``docs``: counts and digest of the base, all spans, and their number."""
     model, cut = fit()
 
     def rows(ids: list, texts: list) -> dict:
@@ -318,9 +348,10 @@ def find(docs: DataFrame) -> DataFrame:
             **{f"n_{k}": [c[k] for c in counts] for k in BASE_KINDS},
             "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found],
             "spans": [joined(spans) for _, spans in found],
+            "n_spans": [len(spans) for _, spans in found],
         }
 
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
     return map_texts(id_and_text(docs), schema, rows)
 
 
