@@ -34,11 +34,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import filesystem, shared_dir
 
 LEVELS = 8
 QUERY_BLOCK = 256
-#: Vectors of one index; a larger partition is several indexes.
+#: Vectors of one index, about; a larger partition is several indexes.
 INDEX_ROWS = 20_000
 #: Bounds are looked at that often in the course of a query.
 LOOKS = 16
@@ -46,11 +46,27 @@ LOOKS = 16
 
 def integers(vectors: list[list[float]]) -> np.ndarray:
     """floor(1024 x) of each component, in one padded matrix."""
-    width = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return np.floor(1024.0 * out).astype(np.int64)
+    return matrix(pa.array(vectors, pa.list_(pa.float64())))[1]
+
+
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows take part, and the integer components of those in one padded matrix."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # without null lists; null components are NaN
+    ends = np.cumsum(lengths)
+    bad = np.r_[0, np.cumsum(~np.isfinite(values))]
+    part = column.is_valid().to_numpy(zero_copy_only=False) & (bad[ends] == bad[ends - lengths])
+    width = int(lengths[part].max(initial=0))
+    out = np.zeros((int(part.sum()), width), np.int64)
+    if width:
+        inside = np.arange(width) < lengths[part][:, None]
+        out[inside] = np.floor(1024.0 * values[np.repeat(part, lengths)])
+    return part, out
+
+
+def _widened(parts: list[np.ndarray]) -> np.ndarray:
+    width = max(p.shape[1] for p in parts)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
 
 
 class ImpactIndex:
@@ -118,26 +134,22 @@ class ImpactIndex:
         return possible
 
 
-def _clean(table: pa.Table | pa.RecordBatch) -> tuple[list, list]:
-    """Ids and vectors of the rows that take part."""
-    ids, vectors = [], []
-    for i, v in zip(table.column("vec_id").to_pylist(), table.column("embedding").to_pylist()):
-        if v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ids.append(i)
-            vectors.append(v)
-    return ids, vectors
+def _clean(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
+    """Ids and components of the rows that take part."""
+    part, comps = matrix(batch.column("embedding"))
+    return batch.column("vec_id").filter(pa.array(part)).to_pylist(), comps
 
 
 def _query_blocks(uri: str) -> Iterator[tuple[int, list, np.ndarray]]:
     """(number of the first query, ids, components) of each block, in the same order in every task."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = filesystem(uri)
     files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet"))
     first = 0
     for file in files:
         for batch in pads.dataset(file, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK):
             if batch.num_rows:
-                ids, vectors = _clean(batch)
-                yield first, ids, integers(vectors)
+                ids, comps = _clean(batch)
+                yield first, ids, comps
                 first += len(ids)
 
 
@@ -154,10 +166,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     queries.select("vec_id", "embedding").where("embedding IS NOT NULL").write.parquet(uri)
 
     def local(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(ids: list, rows: list) -> Iterator[pa.RecordBatch]:
+        def answers(ids: list, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
             ids = [ids[i] for i in order]
-            index = ImpactIndex(np.arange(len(ids)), integers([rows[i] for i in order]))
+            index = ImpactIndex(np.arange(len(ids)), rows[order])
             for first, query_ids, comps in _query_blocks(uri):
                 out: list[tuple] = []
                 for j, (query_id, query) in enumerate(zip(query_ids, comps)):
@@ -173,16 +185,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     )
 
         held_ids: list = []
-        held: list = []
+        held: list[np.ndarray] = []
         for b in it:
             ids, rows = _clean(b)
             held_ids += ids
-            held += rows
-            while len(held) >= INDEX_ROWS:
-                yield from answers(held_ids[:INDEX_ROWS], held[:INDEX_ROWS])
-                held_ids, held = held_ids[INDEX_ROWS:], held[INDEX_ROWS:]
-        if held:
-            yield from answers(held_ids, held)
+            held.append(rows)
+            if len(held_ids) >= INDEX_ROWS:
+                yield from answers(held_ids, _widened(held))
+                held_ids, held = [], []
+        if held_ids:
+            yield from answers(held_ids, _widened(held))
 
     best = vectors.select("vec_id", "embedding").mapInArrow(local, _LOCAL)
     order = [F.desc("score"), F.asc_nulls_last("vec_id")]
