@@ -6,7 +6,7 @@ An archive is two Parquet tables below one folder:
 ``headers``   one row a record: the exact WARC header and HTTP head bytes,
               the payload's key, and the record's place
 
-Equal payloads are found by SHA-256 and length; the SHA-1 of all members must
+Equal payloads are found by SHA-256; length and SHA-1 of all members must
 agree as well (else the write fails), and on reading the stored bytes are
 hashed again and must give the key they are stored under.  ``records`` puts
 the original record bytes together by joining the two tables.
@@ -18,7 +18,9 @@ shuffled once, and only to be stored; digests and sizes decide all else.
 Defined results: a null html is an empty payload; a null url is an empty
 target; a null page_id is below every number, and is the response only if all
 records of the payload have none; rows that repeat the largest page_id of a
-payload are all responses, with one stored payload.
+payload are all responses, with ids of their own and one stored payload; other
+columns, whatever their names, are not looked at; an empty table gives an
+archive without records.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
@@ -42,39 +44,35 @@ def base32(hex40: Column) -> Column:
     return F.concat(*chars)
 
 
-def _keyed(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload and its digests; ``row`` tells rows apart for joins."""
-    df = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    df = df.withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1("payload"), "n": F.length("payload").cast("long")})
-    return df.withColumn("row", F.xxhash64("page_id", "url", "sha256"))
+def _payload(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("sha256"))
 
 
-def _uuid(page_id: Column, url: Column) -> Column:
-    h = F.md5(F.concat_ws(" ", F.coalesce(page_id.cast("string"), F.lit("-")), url))
+def _uuid(page_id: Column, url: Column, nth: Column) -> Column:
+    """A record's id; ``nth`` tells rows apart that are equal in page_id and url."""
+    h = F.md5(F.concat_ws(" ", F.coalesce(page_id.cast("string"), F.lit("-")), nth.cast("string"), url))
     cut = [h.substr(F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
 def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write an archive of all pages below ``root``."""
-    keyed = _keyed(pages)
-    best = F.max(F.struct("page_id", "url", "row"))
-    groups = keyed.groupBy("sha256", "n").agg(
-        best.alias("best"), F.min("sha1").alias("low"), F.max("sha1").alias("high")
+    held = _payload(pages)
+    digests = {"sha1": F.sha1("payload"), "n": F.length("payload").cast("long"), "nth": F.monotonically_increasing_id()}
+    keyed = written(held.withColumns(digests).drop("payload"), "warc-keys")
+    best = F.max(F.struct("page_id", "url", "nth"))
+    groups = keyed.groupBy("sha256").agg(
+        best.alias("best"), F.min(F.struct("sha1", "n")).alias("low"), F.max(F.struct("sha1", "n")).alias("high")
     )
     same = F.when(F.col("low") == F.col("high"), F.col("best")).otherwise(
         F.raise_error(F.lit("two payloads share a SHA-256 and differ"))
     )
     groups = groups.select("sha256", same.alias("best"))
 
-    stored = groups.select("sha256", F.col("best.row").alias("row"))
-    (
-        keyed.select("row", "sha256", "n", "payload")
-        .join(stored, ["row", "sha256"], "left_semi")
-        .dropDuplicates(["row", "sha256"])
-        .select("sha256", "n", "payload")
-        .write.parquet(f"{root}/payloads")
-    )
+    # copies fall together before the shuffle, so a payload that many pages have is no hot key
+    stored = held.select("sha256", "payload").dropDuplicates(["sha256"])
+    stored.select("sha256", F.length("payload").cast("long").alias("n"), "payload").write.parquet(f"{root}/payloads")
 
     best_id, best_url = F.col("best.page_id"), F.col("best.url")
     clean = lambda url: F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", " ")
@@ -90,13 +88,13 @@ def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> No
         F.lit(f"WARC/1.1{_CRLF}WARC-Type: "),
         F.when(responds, F.lit("response")).otherwise(F.lit("revisit")),
         F.lit(_CRLF),
-        line("WARC-Record-ID", _uuid(F.col("page_id"), clean(F.col("url")))),
+        line("WARC-Record-ID", _uuid(F.col("page_id"), clean(F.col("url")), F.col("nth"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", clean(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         F.when(responds, F.lit("")).otherwise(
             F.concat(
-                line("WARC-Refers-To", _uuid(best_id, clean(best_url))),
+                line("WARC-Refers-To", _uuid(best_id, clean(best_url), F.col("best.nth"))),
                 line("WARC-Refers-To-Target-URI", clean(best_url)),
                 line("WARC-Profile", F.lit(REVISIT_PROFILE)),
             )
@@ -106,8 +104,7 @@ def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> No
         F.lit(_CRLF),
     )
     (
-        keyed.select("page_id", "url", "sha256", "sha1", "n")
-        .join(groups, "sha256")
+        keyed.join(groups, "sha256")
         .withColumn("http", http)
         .select(
             "page_id",
