@@ -40,6 +40,20 @@ def test_warc(spark, pages):
             assert b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest()) in head
 
 
+def test_warc_ids_and_columns(spark):
+    """Rows that are equal in page_id and url have ids of their own; columns may clash with those of the archive."""
+    rows = [(5, "u", "same", "s", 1)] * 3 + [(5, "u", "other", "s", 1), (2, "u", "same", "s", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha256 string, n int")
+    root = shared_dir(spark, "warc-test")
+    warc.write(df, root)
+    texts = [bytes(r.header).decode() for r in warc.headers(spark, root).collect()]
+    ids = [t.partition("WARC-Record-ID: ")[2].split("\r\n")[0] for t in texts]
+    assert len(set(ids)) == 5
+    to = [t.partition("WARC-Refers-To: ")[2].split("\r\n")[0] for t in texts if "WARC-Refers-To: " in t]
+    assert len(to) == 1 and to[0] in ids
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.read(spark, root).collect()) == [(2, "revisit", 5)] + [(5, "response", 0)] * 4
+
+
 def test_warc_empty(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -105,4 +119,24 @@ def test_pipeline(spark, sf):
     encode = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     tokens = {i: len(encode(pii.redacted(t, pii.select([t], model, cut)[0][1]))) + 1 for i, t in left.items()}
     assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == tokens
+    for r in out.where("length > 0").limit(50).collect():
+        whole = encode(pii.redacted(left[r.doc_id], pii.select([left[r.doc_id]], model, cut)[0][1])).tolist() + [0]
+        assert list(r.ids) == whole[r.start : r.start + r.length]
     assert [name for name, _ in p.STAGES] == ["quality_rules", "near_dedup", "redact_pii", "pack"]
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null ids and texts, repeats, a very long text, clashing columns; and an empty table."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9000, n))
+    a, b, long = prose(80), prose(90), prose(60_000)
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, None), (4, ""), (5, long), (6, "short")]
+    schema = "doc_id long, text string, sequence_id string, n_words int, ids string"
+    spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in got} == {1, None, 5} and len([r for r in got if r.start == 0]) == 3
+    assert sum(r.length for r in got if r.doc_id == 5) == next(r.doc_tokens for r in got if r.doc_id == 5) > 60_000
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0

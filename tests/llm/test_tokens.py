@@ -1,6 +1,10 @@
 """Packing, BPE, token counts and shards against the library."""
 
 import hashlib
+import io
+import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from docweave.llm import bpe, packing, sstable, tokencount
-from docweave.llm.common import shared_dir, tokenizer
+from docweave.llm.common import arrow_uri, shared_dir, tokenizer
 
 
 def library(path, text):
@@ -31,8 +35,10 @@ def test_bpe(docs, odd, nothing, word_bpe):
         whole = tokenizer(word_bpe).decode(ids, skip_special_tokens=False)
         assert r.decoded_sha256 == hashlib.sha256(whole.encode()).hexdigest()
     assert bpe.query(nothing, word_bpe).count() == 0
-    full = bpe.encode(odd.limit(8), word_bpe).collect()
-    assert all(bpe.decode(r.ids, word_bpe) == r.decoded for r in full)
+    for r in bpe.decoded(bpe.encode(df, word_bpe), word_bpe).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.n_tokens == len(ids) and r.text == tokenizer(word_bpe).decode(ids, skip_special_tokens=False)
+    assert bpe.decode(np.array([10**6, 5], "<u4"), word_bpe) == bpe.decode(np.array([5], "<u4"), word_bpe)
 
 
 @settings(max_examples=150, deadline=None)
@@ -80,11 +86,45 @@ def test_chunk_maps_compose(word_bpe, monkeypatch):
         assert tokencount.count_batch(word_bpe, texts) == want
 
 
+def test_chunks_inside_long_words(word_bpe, monkeypatch):
+    """Words of many chunks without an end: random letters, one letter, and patterns out of step with the chunks."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)), "a" * 9001, "abc" * 3000, "ha" * 4000 + "z", "=" * 7000, "é" * 3000]
+    texts = [f"so {w} it {w[:700]}" for w in words] + words
+    want = [len(library(word_bpe, t)) for t in texts]
+    for chunk, span in ((512, 1 << 20), (128, 1000), (64, 1 << 14)):
+        monkeypatch.setattr(tokencount, "CHUNK", chunk)
+        monkeypatch.setattr(tokencount, "SPAN", span)
+        assert tokencount.count_batch(word_bpe, texts) == want
+
+
 def test_transducer_starts_anew_when_full(word_bpe, monkeypatch, docs):
-    monkeypatch.setattr(tokencount, "MAX_STATES", 50)
-    texts = [r.text for r in docs.select("text").limit(6).collect()]
-    for t in texts:
-        assert tokencount.count_batch(word_bpe, [t]) == [len(library(word_bpe, t))]
+    """The tables never hold more states than they may, whatever is counted."""
+    t = tokencount.Transducer(word_bpe)
+    monkeypatch.setattr(tokencount, "transducer", lambda path: t)
+    monkeypatch.setattr(tokencount, "MAX_STATES", 3000)
+    rng = random.Random(3)
+    texts = [r.text for r in docs.select("text").limit(40).collect()] + ["".join(rng.choices("abcdefghij", k=30_000))]
+    most, grow = 0, t.state
+    def state(hypotheses):
+        nonlocal most
+        n = grow(hypotheses)
+        most = max(most, len(t.sets))
+        return n
+    monkeypatch.setattr(t, "state", state)
+    assert tokencount.count_batch(word_bpe, texts) == [len(library(word_bpe, x)) for x in texts]
+    assert 1000 < most <= 3000 and len(t.inner_agree) <= tokencount.MAX_AGREEMENTS
+
+
+def test_very_long_word(word_bpe):
+    rng = random.Random(5)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    n = tokencount.count_batch(word_bpe, [word])[0]
+    seconds = time.perf_counter() - began
+    print(f"a word of 1 MB: {n} tokens in {seconds:.0f} s, {len(tokencount.transducer(word_bpe).sets)} states")
+    parts = len(library(word_bpe, word[:200_000]))
+    assert abs(n - 5 * parts) < 0.02 * n and seconds < 120
 
 
 def test_packing(docs, odd, nothing, byte_bpe):
@@ -129,6 +169,56 @@ def test_little_padding(docs, byte_bpe):
     assert p.padding < 0.02 * p.ids
 
 
+def test_little_padding_over_many_partitions(docs, byte_bpe):
+    shares = []
+    for n in (1, 211):
+        p = packing.padding(packing.query(docs.repartition(n), byte_bpe)).first()
+        shares.append(p.padding / p.ids)
+    print(f"padding at 1 and 211 partitions: {shares}")
+    assert max(shares) < 0.01
+
+
+def test_windows_with_ids(spark, docs, odd, byte_bpe):
+    """The same windows with and without ids, and the documents come back from them; repeated rows count each."""
+    df = docs.select("doc_id", "text").limit(60).unionByName(odd.selectExpr("doc_id + 100000 AS doc_id", "text")).repartition(7)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    plain = packing.pack(df, byte_bpe).collect()
+    full = packing.pack(df, byte_bpe, with_ids=True).collect()
+    assert sorted(r[:7] for r in full) == sorted(tuple(r) for r in plain)
+    for r in full:
+        assert r.length == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    want = sorted(len(library(byte_bpe, r.text)) + 1 for r in df.collect())
+    assert sum(want) == sum(r.length for r in plain) and len(plain) >= len(want)
+    assert sorted(r.doc_tokens for r in plain if r.start == 0) == want
+    used = {}
+    for r in sorted(plain, key=lambda r: r.offset):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 1024
+
+
+def test_bloom_filter_and_many_keys(spark, word_bpe, monkeypatch):
+    monkeypatch.setattr(sstable, "BLOOM_KEYS", 16)
+    monkeypatch.setattr(sstable, "_BLOOM_BITS", 160)
+    out = io.BytesIO()
+    w = sstable.ShardWriter(out, 2)
+    for i in range(0, 2000, 2):
+        w.add(sstable.key_of(i), np.array([i], "<u4"))
+    w.finish()
+    path = f"{shared_dir(spark, 'bloom').removeprefix('file://')}.sst"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(out.getvalue())
+    shard = sstable.Shard(f"file://{path}")
+    assert all(shard.get(i)[0].tolist() == [i] for i in range(0, 2000, 2)) and not any(shard.get(i) for i in range(-5, 2005, 2))
+    assert np.mean([shard.may_hold(sstable.key_of(i)) for i in range(1, 2000, 2)]) < 0.05
+    assert len(w.blooms) == 63
+
+
+def test_uris_of_object_stores():
+    assert arrow_uri("s3a://b/k") == "s3://b/k" and arrow_uri("abfss://c@a/x") == "abfss://c@a/x" and arrow_uri("file:///x") == "file:///x"
+
+
 def test_shards(spark, docs, odd, nothing, word_bpe):
     df = _both(docs, odd).unionByName(spark.createDataFrame([(None, "no id"), (-5, "below zero")], "doc_id long, text string"))
     manifest = sstable.write(df, word_bpe, 1, shared_dir(spark, "sst-test"))
