@@ -66,6 +66,12 @@ def cmd_list(spark, a) -> int:
     return 0
 
 
+def cmd_graph(spark, a) -> int:
+    _, corpus, _ = plan.load(spark, a.root)
+    print(report.table(nav.edges(corpus), a.format))
+    return 0
+
+
 def cmd_namespaces(spark, a) -> int:
     config, corpus, _ = plan.load(spark, a.root)
     rows = nav.namespaces(corpus)
@@ -224,6 +230,7 @@ def parser() -> argparse.ArgumentParser:
     command("lint", cmd_lint, (("-r", "--recursive"), {"action": "store_true"}), scope, (("--pack",), {"action": "append"}), (("--as-of",), {}))
     command("refs", cmd_refs, (("id",), {}))
     command("list", cmd_list)
+    command("graph", cmd_graph)
     command("namespaces", cmd_namespaces, (("--for",), {"dest": "path"}))
     command("rules", cmd_rules, scope, (("code",), {"nargs": "?"}))
     command("status", cmd_status, (("--lineage",), {}), (("--exit-code",), {"action": "store_true"}), terminal)

@@ -177,12 +177,15 @@ def blocking(edges: DataFrame, docs: DataFrame, terminal: list[str], satisfied_b
     its namespace in ``satisfied_by``; one without a status never does, and
     part_of never does.
     """
-    target = docs.select(F.col("ns").alias("dst_ns"), F.col("number").alias("dst_number"), F.col("status").alias("dst_status"))
-    settled = F.col("dst_status").isin(terminal)
+    settled = F.col("status").isin(terminal)
     for name, statuses in (satisfied_by or {}).items():
-        settled = F.when(F.col("dst_ns") == name, F.col("dst_status").isin(statuses)).otherwise(settled)
-    joined = edges.where("kind = 'depends_on'").join(target, ["dst_ns", "dst_number"])
-    return joined.withColumn("blocks", F.col("dst_status").isNotNull() & ~settled)
+        settled = F.when(F.col("ns") == name, F.col("status").isin(statuses)).otherwise(settled)
+    blocks = F.col("status").isNotNull() & ~settled
+    # documents that share an id are one target, which blocks if one of them does
+    target = docs.where("number IS NOT NULL").groupBy(F.col("ns").alias("dst_ns"), F.col("number").alias("dst_number")).agg(
+        F.coalesce(F.min(F.when(blocks, F.col("status"))), F.min("status")).alias("dst_status"), F.bool_or(blocks).alias("blocks")
+    )
+    return edges.where("kind = 'depends_on'").join(target, ["dst_ns", "dst_number"])
 
 
 def dep_status(c: Corpus, ns: str, p: dict) -> DataFrame:

@@ -6,6 +6,8 @@ to the shared folder, so a lost executor costs a round at most.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,27 +15,40 @@ from pyspark.sql import functions as F
 
 #: Edges of a cyclic residue that the driver takes over; a larger one stays distributed.
 SMALL_RESIDUE = 100_000
-MAX_ROUNDS = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in spark.checkpoint.dir, or under /tmp where that is unset; computed once."""
+    """Cut lineage by a table in spark.checkpoint.dir; computed once.
+
+    Only where that is unset, and driver and executors are one process (tests),
+    is a local folder used.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docweave-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/docweave-checkpoints"
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): what is reachable from each root, roots included at depth 0.
 
-    Breadth first: a node keeps its least depth, and cycles end by themselves.
+    A forest whose roots are asked for is answered by pointer doubling, in
+    log2(depth) rounds; any other graph breadth first, a round a level.  A node
+    keeps its least depth, and cycles end by themselves.
     """
-    steps = edges.select("src", "dst").distinct()
-    seen = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")).distinct())
-    front = seen
-    for depth in range(1, max_depth + 1):
+    steps = cut(edges.select("src", "dst").distinct())
+    roots = cut(roots.select("node").distinct())
+    if max_depth is None and _is_forest(steps, roots):
+        return _doubled(steps, roots)
+    seen = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")))
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = (
             front.join(steps, front.node == steps.src)
             .select("root", F.col("dst").alias("node"))
@@ -50,6 +65,27 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_ROUNDS) -> Da
     return seen
 
 
+def _is_forest(steps: DataFrame, roots: DataFrame) -> bool:
+    """Whether no node has several edges into it, and no root has one."""
+    several = steps.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1")
+    return several.isEmpty() and steps.join(roots.select(F.col("node").alias("dst")), "dst", "left_semi").isEmpty()
+
+
+def _doubled(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each node's ancestor 1, 2, 4, ... steps above it, until that is a root or there is none left."""
+    ends = roots.select(F.col("node").alias("above"), F.lit(True).alias("at_root"))
+    up = steps.select(F.col("dst").alias("node"), F.col("src").alias("above"), F.lit(1).cast("long").alias("n"))
+    up = cut(up.join(ends, "above", "left").withColumn("at_root", F.coalesce("at_root", F.lit(False))))
+    most, reached = up.count(), 1
+    while reached <= most and not (left := up.where("NOT at_root")).isEmpty():
+        hop = up.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("n").alias("more"), F.col("at_root").alias("end"))
+        moved = left.join(hop, "above").select(F.col("next").alias("above"), "node", (F.col("n") + F.col("more")).alias("n"), F.col("end").alias("at_root"))
+        up = cut(up.where("at_root").unionByName(moved))
+        reached *= 2  # what is longer than all edges runs round a cycle, which no root reaches
+    found = up.where("at_root").select(F.col("above").alias("root"), "node", F.col("n").alias("depth"))
+    return roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")).unionByName(found)
+
+
 def peel(edges: DataFrame) -> DataFrame:
     """Edges between nodes that lie on a cycle or between two cycles."""
     rest = cut(edges.select("src", "dst").distinct())

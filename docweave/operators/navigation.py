@@ -36,6 +36,14 @@ def symbols(c: Corpus, text: str, prefix: bool = False) -> DataFrame:
     return c.docs.where(hit).select("id", "title", "location").orderBy("ns", "number")
 
 
+def edges(c: Corpus) -> DataFrame:
+    """The graph of documents: (from, to, kind, resolved) of every pointer, ids as written."""
+    docs = c.docs.select("doc_key", F.coalesce("id", "location").alias("from"))
+    known = c.docs.where("number IS NOT NULL").groupBy(F.col("ns").alias("dst_ns"), F.col("number").alias("dst_number")).agg(F.min("id").alias("to_id"), F.lit(True).alias("hit"))
+    rows = c.edges.join(docs, F.col("src_key") == F.col("doc_key")).join(known, ["dst_ns", "dst_number"], "left")
+    return rows.select("from", F.coalesce("to_id", "dst_raw").alias("to"), "kind", F.coalesce("hit", F.lit(False)).alias("resolved")).orderBy("from", "kind", "to")
+
+
 def inventory(c: Corpus) -> DataFrame:
     """All documents by namespace and number."""
     return c.docs.select("ns", "number", "id", "title", "status", "location").orderBy("ns", F.col("number").asc_nulls_last(), "location")
@@ -142,10 +150,20 @@ def changelog(per_tag: DataFrame, namespaces_: list[str], terminal: list[str]) -
     return first.select("b.tag", "b.tag_order", "ns", "number", "b.id", F.col("b.entry").alias("text")).orderBy(F.desc("tag_order"), "ns", "number")
 
 
+#: Known names that one broadcast holds; more are compared in blocks of so many.
+NEAREST_BLOCK = 10_000
+
+
 def nearest(names: DataFrame, known: DataFrame) -> DataFrame:
-    """For each name the known name at the least edit distance, ties by name; ``known`` is a small set."""
-    d = F.levenshtein("name", "known_name")
-    pairs = names.crossJoin(F.broadcast(known)).withColumn("distance", d)
+    """For each name the known name at the least edit distance, ties by name."""
+    blocks = -(-known.count() // NEAREST_BLOCK)
+    if blocks <= 1:
+        pairs = names.crossJoin(F.broadcast(known))
+    else:
+        held = known.withColumn("block", F.pmod(F.hash("known_name"), F.lit(blocks)))
+        asked = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = asked.join(held, "block")
+    pairs = pairs.withColumn("distance", F.levenshtein("name", "known_name"))
     return pairs.groupBy("name").agg(F.min(F.struct("distance", "known_name")).alias("b")).select(
         "name", F.col("b.known_name").alias("nearest"), F.col("b.distance").cast("long").alias("distance")
     )

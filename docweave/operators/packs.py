@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..model import Corpus, findings, key_line, meta
+from . import navigation as nav
 from .core import _resolves, _subjects, _values, requires_link
 
 
@@ -110,19 +111,16 @@ def context_cache(c: Corpus, ns: str, p: dict) -> DataFrame:
     docs = _subjects(c, ns)
     if c.git is None:
         return findings(docs.limit(0), F.lit(""))
-    log = None
-    for (file,) in docs.select("location").collect():  # instruction files, a handful
-        part = c.git.churn(c.spark, file)
-        log = part if log is None else log.unionByName(part)
-    if log is None:
-        return findings(docs.limit(0), F.lit(""))
+    log = c.git.churn(c.spark).join(docs.select(F.col("location").alias("path")), "path", "left_semi")
     gap = (F.col("ts") - F.lag("ts").over(Window.partitionBy("path").orderBy("ts"))) / 3600
     hot = log.withColumn("gap", gap).where(F.col("gap") < p.get("churn_min_hours", 24)).groupBy("path").agg(F.count("*").alias("n"))
     return findings(hot.withColumnRenamed("path", "location"), F.col("n"), severity="warning")
 
 
 def banned_prose(c: Corpus, ns: str, p: dict) -> DataFrame:
-    terms = c.spark.createDataFrame([(t, r"(?i)(?<![A-Za-z0-9])\Q" + t + r"\E(?![A-Za-z0-9])") for t in p["terms"]], "term string, rx string")
+    """Configured terms occur as whole words, in either case."""
+    literal = lambda t: "".join(x if x.isalnum() else "\\" + x for x in t)
+    terms = c.spark.createDataFrame([(t, f"(?i)(?<![A-Za-z0-9]){literal(t)}(?![A-Za-z0-9])") for t in p["terms"]], "term string, rx string")
     df = c.of(ns).select("location", "body").join(F.broadcast(terms), F.expr("body RLIKE rx"))
     return findings(df, F.col("term"))
 
@@ -174,9 +172,9 @@ def agent_assigned(c: Corpus, ns: str, p: dict) -> DataFrame:
     named = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(F.get_json_object(raw, "$")))
     asked = c.of(ns).select("location", "key_lines", F.explode(named).alias("name"))
     lost = asked.join(known.select(F.col("known").alias("name")), "name", "left_anti")
-    near = lost.select("name").distinct().crossJoin(F.broadcast(known)).groupBy("name").agg(F.min(F.struct(F.levenshtein("name", "known").alias("d"), "known")).alias("best"))
+    near = nav.nearest(lost.select("name").distinct(), known.select(F.col("known").alias("known_name")))
     df = lost.join(near, "name", "left")
-    return findings(df, F.col("name"), line=key_line(p.get("field", "agents")), note=F.concat(F.lit("nearest: "), F.col("best.known")))
+    return findings(df, F.col("name"), line=key_line(p.get("field", "agents")), note=F.concat(F.lit("nearest: "), F.col("nearest")))
 
 
 def files_allowed(c: Corpus, ns: str, p: dict) -> DataFrame:

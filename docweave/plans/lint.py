@@ -11,6 +11,7 @@ from ..model import DIAGNOSTICS, TABLES, Corpus, Namespace, diagnostics, shaped
 from ..operators import core, kernel
 from ..sources import config as cfg, external, markdown, scan
 from ..sources.git import Git
+from . import packs
 from .registry import RULES
 
 
@@ -43,7 +44,7 @@ def load(spark: SparkSession, root: str, config: cfg.Config | None = None, as_of
             for code in ("core.calendar-freshness", "todo.freshness", "security.vuln-sla", "security.risk-expiry"):
                 if code in n.params:
                     n.params[code].setdefault("as_of", as_of)
-    cfg.validate(config, RULES)
+    cfg.validate(config, RULES, lambda code: packs.providers(code, root))
     corpus = markdown.ingest(spark, root, config)
     messages = kernel.path_conflict(corpus).unionByName(kernel.unreadable(corpus))
     if config.sources:
@@ -81,6 +82,8 @@ def check(c: Corpus, namespaces: list[Namespace] | None = None, external_rules:
 
 def lint(spark: SparkSession, root: str, config: cfg.Config | None = None, only: list[str] | None = None, as_of: str | None = None) -> Run:
     """All diagnostics of a root; ``only`` scopes the subjects, never the targets, and drops the coverage checks."""
+    if config is None and cfg.find(root) is None:
+        raise cfg.ConfigError(f"cfg.missing: there is no {cfg.CONFIG_NAME} at or above {root}")
     config, corpus, messages = load(spark, root, config, as_of)
     scoped = [n for n in corpus.namespaces if not only or n.name in only]
     found = check(corpus, scoped, config.external)

@@ -24,6 +24,9 @@ def _shape(headings: list[str], statuses: list[str] | None = None, keys: list[st
     return out | ({"core.allowed-values": {"status": statuses}} if statuses else {})
 
 
+_CONTEXT = ["agents.context-headings", "agents.context-budget", "agents.context-cache"]
+_PIN = {"core.commit-freshness": {"require-pin": True}}
+
 #: The vocabularies that are documented for each kind of document.
 BUILT_IN: dict[str, dict] = {
     "project-docs": {
@@ -32,6 +35,9 @@ BUILT_IN: dict[str, dict] = {
                        _shape(["Status", "Context", "Decision", "Consequences"], ["draft", "accepted", "rejected", "superseded"])),
             "PRD": _ns("a product requirement is written down", ["docs/prds/**"], ["core.required-headings", "core.required-metadata", "ears.clause-syntax"],
                        _shape(["Context", "Goals", "Non-goals", "User stories", "Requirements", "Definition of Done", "Open Questions", "References", "Change log"])),
+            "RFC": _ns("a change is proposed for comment", ["docs/rfcs/**"], ["core.required-metadata"], _shape([])),
+            "BUG": _ns("something is broken", ["docs/bugs/**"], ["core.required-metadata"], _shape([])),
+            "ROADMAP": {**_ns("what comes when", ["docs/roadmap/**"], ["core.required-metadata"], _shape([])), "linked_by": "part_of"},
             "TODO": _ns("the list of what is to be done", ["TODO.md"], ["todo.freshness", "todo.structure"], base=_PATH),
             "README": _ns("the front door of the project", ["README.md"], ["core.min-docs", "core.requires-link"],
                           {"core.requires-link": {"targets": ["docs/guides/getting-started.md"], "severity": "warning"}}, base=_PATH),
@@ -44,8 +50,14 @@ BUILT_IN: dict[str, dict] = {
             "PMR": _ns("what an incident taught", ["docs/pmrs/**"], ["core.required-metadata"], {"core.required-metadata": {"keys": ["id", "title", "status", "incident_date"]}}),
         }
     },
-    "agents": {"namespaces": {"AGENTS": _ns("instructions that an agent reads", ["CLAUDE.md", "AGENTS.md", "GEMINI.md"], ["agents.context-headings", "agents.context-budget", "agents.context-cache"], base=_PATH),
-                              "SKILLS": _ns("a skill for an agent", [".claude/skills/**/SKILL.md", ".codex/skills/**/SKILL.md"], ["skills.frontmatter"], base=_PATH)}},
+    "agents": {"namespaces": {"AGENTS": _ns("instructions that any agent reads", ["AGENTS.md"], _CONTEXT, base=_PATH)}},
+    "claude": {"namespaces": {
+        "CLAUDE": _ns("instructions for one agent", ["CLAUDE.md"], _CONTEXT, base=_PATH),
+        "SKILLS": _ns("a skill for an agent", [".claude/skills/**/SKILL.md"], ["skills.frontmatter"], base=_PATH),
+        "SUBAGENT": _ns("an agent that another one calls", [".claude/agents/*.md"], ["agent.frontmatter"], base=_PATH)}},
+    "codex": {"namespaces": {"CODEXSKILLS": _ns("a skill for an agent", [".codex/skills/**/SKILL.md"], ["skills.frontmatter"], base=_PATH)}},
+    "gemini": {"namespaces": {"GEMINI": _ns("instructions for one agent", ["GEMINI.md"], _CONTEXT, base=_PATH)}},
+    "opencode": {"namespaces": {"OPENCODE": _ns("an agent that another one calls", [".opencode/agent/*.md"], ["opencode.frontmatter"], base=_PATH)}},
     "workflow": {
         "base": "handoff",
         "namespaces": {
@@ -75,14 +87,23 @@ BUILT_IN: dict[str, dict] = {
         "namespaces": {
             "VULN": _ns("a weakness was found", ["docs/security/vulns/**"], ["security.vuln-sla", "security.remediation-link"], {"security.vuln-sla": {"windows": {"critical": 7, "high": 30}}}),
             "RISK": _ns("a risk is accepted", ["docs/security/risks/**"], ["security.risk-expiry"]),
+            "THREAT": _ns("what could go wrong with a part of the system", ["docs/security/threats/**"], ["core.commit-freshness"], _PIN),
+            "SECREV": _ns("a release or a test of its security is signed off", ["docs/security/reviews/**"], ["core.calendar-freshness"]),
+            "DEPAUDIT": _ns("dependencies were audited", ["docs/security/audits/**"], ["core.commit-freshness"], _PIN),
+            "POLICY": _ns("a policy is in force", ["docs/security/policies/**"], ["core.calendar-freshness"]),
+            "ASSET": _ns("something is worth protecting", ["docs/security/assets/**"], ["core.required-metadata"], {"core.required-metadata": {"keys": ["id", "title"]}}),
         }
     },
+    "persona": {"namespaces": {
+        "SOUL": _ns("who the persona is", ["SOUL.md"], ["soul.sections"], {"soul.sections": {"sections": ["Worldview", "Opinions", "Boundaries"]}}, base=_PATH),
+        "STYLE": _ns("how the persona writes", ["STYLE.md"], ["style.soul-pair"], {"style.soul-pair": {"sibling": "SOUL.md"}}, base=_PATH)}},
+    "soc2": {"base": "security", "namespaces": {"CONTROL": _ns("a control and what shows that it works", ["docs/soc2/**"], ["soc2.control-evidence"])}},
 }
 
 
 def text_of(pack: dict) -> str:
     """The TOML of a pack."""
-    value = lambda v: "[" + ", ".join(map(value, v)) + "]" if isinstance(v, list) else str(v) if isinstance(v, int) else '"' + str(v) + '"'
+    value = lambda v: "[" + ", ".join(map(value, v)) + "]" if isinstance(v, list) else str(v).lower() if isinstance(v, int) else '"' + str(v) + '"'
     out = []
     for name, section in pack["namespaces"].items():
         plain = {k: v for k, v in section.items() if not isinstance(v, dict)}
@@ -118,7 +139,13 @@ def show(name: str, root: str = ".") -> str:
     packs = discover(root)
     origin, pack = packs[name]
     base = packs[pack["base"]][1] if "base" in pack else None
-    return canonical({"name": name, "origin": origin, "namespaces": pack["namespaces"], "base": {"name": pack["base"], **base} if base else None})
+    return canonical({"name": name, "origin": origin, "scope": "pack-definition", "namespaces": pack["namespaces"], "base": {"name": pack["base"], **base} if base else None})
+
+
+def providers(code: str, root: str = ".") -> list[str]:
+    """Packs that bind a rule."""
+    packs = discover(root)
+    return sorted(name for name, (_, p) in packs.items() if any(code in s.get("rules", []) for s in p["namespaces"].values()))
 
 
 def add(name: str, config_text: str, root: str = ".") -> tuple[str, list[str], list[str]]:

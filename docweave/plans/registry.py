@@ -22,6 +22,7 @@ class Rule:
 
 
 def _no_paths(n, p) -> bool:
+    """A rule about files never sees one in a namespace without patterns."""
     return not n.paths
 
 
@@ -52,17 +53,17 @@ _ALL = [
     Rule("core.requirement-ref", core.requirement_ref, "warning", "{} is no known requirement"),
     Rule("core.requirement-status", core.requirement_status, "error", "requirement {} has no known status", needs=True),
     Rule("ears.clause-syntax", packs.clause_syntax, "error", "{} follows no clause form"),
-    Rule("todo.freshness", packs.todo_freshness, "warning", "last updated: {}"),
-    Rule("todo.structure", packs.todo_structure, "error", "{} is missing"),
-    Rule("todo.sections", packs.todo_sections, "warning", "section {}"),
+    Rule("todo.freshness", packs.todo_freshness, "warning", "last updated: {}", inert=_no_paths),
+    Rule("todo.structure", packs.todo_structure, "error", "{} is missing", inert=_no_paths),
+    Rule("todo.sections", packs.todo_sections, "warning", "section {}", inert=_no_paths),
     Rule("todo.listed", packs.todo_listed, "warning", "{} is not in the to-do file", needs=True),
-    Rule("agents.context-headings", packs.context_headings, "error", "{} does not belong here or is not linked"),
-    Rule("agents.context-budget", packs.context_budget, "warning", "over budget or dangling: {}"),
-    Rule("agents.context-cache", packs.context_cache, "warning", "{} commits in quick succession"),
+    Rule("agents.context-headings", packs.context_headings, "error", "{} does not belong here or is not linked", inert=_no_paths),
+    Rule("agents.context-budget", packs.context_budget, "warning", "over budget or dangling: {}", inert=_no_paths),
+    Rule("agents.context-cache", packs.context_cache, "warning", "{} commits in quick succession", inert=_no_paths),
     Rule("writing.banned-prose", packs.banned_prose, "error", "says {}", needs=True),
-    Rule("skills.frontmatter", packs.skills_frontmatter, "error", "{} is empty"),
-    Rule("agent.frontmatter", packs.agent_frontmatter, "error", "frontmatter: {}"),
-    Rule("opencode.frontmatter", packs.plain_agent_frontmatter, "error", "frontmatter: {}"),
+    Rule("skills.frontmatter", packs.skills_frontmatter, "error", "{} is empty", inert=_no_paths),
+    Rule("agent.frontmatter", packs.agent_frontmatter, "error", "frontmatter: {}", inert=_no_paths),
+    Rule("opencode.frontmatter", packs.plain_agent_frontmatter, "error", "frontmatter: {}", inert=_no_paths),
     Rule("agent.assigned", packs.agent_assigned, "error", "no agent {}"),
     Rule("spec.requires-prd", lambda c, ns, p: core.dep_shape(c, ns, {"requires": ["PRD"]}), "error", "depends on no {}"),
     Rule("tasks.files-allowed", packs.files_allowed, "warning", "{} does not exist"),
@@ -78,11 +79,11 @@ _ALL = [
     Rule("soc2.control-evidence", packs.control_evidence, "error", "{} has no evidence"),
     Rule("design.section-order", packs.section_order, "error", "section {}", needs=True),
     Rule("design.token-ref", packs.token_ref, "error", "{} is not defined"),
-    Rule("soul.sections", packs.soul_sections, "warning", "section {}", needs=True),
+    Rule("soul.sections", packs.soul_sections, "warning", "section {}", needs=True, inert=_no_paths),
     Rule("soul.referenced", packs.file_referenced, "warning", "no link to {}", needs=True),
     Rule("style.referenced", packs.file_referenced, "warning", "no link to {}", needs=True),
-    Rule("style.section-order", packs.section_order, "warning", "section {}", needs=True),
-    Rule("style.soul-pair", packs.pair, "warning", "{} is missing", needs=True),
+    Rule("style.section-order", packs.section_order, "warning", "section {}", needs=True, inert=_no_paths),
+    Rule("style.soul-pair", packs.pair, "warning", "{} is missing", needs=True, inert=_no_paths),
 ]
 
 RULES: dict[str, Rule] = {r.code: r for r in _ALL}

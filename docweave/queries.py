@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rule_queries
 from .functions import globs, text as tx
 from .model import Namespace, diagnostics
 from .operators import core, graph, navigation as nav
@@ -12,11 +13,6 @@ from .sources import external, markdown, relational as rel, scan
 from .sources.config import Config
 
 AS_OF = "2001-08-01"
-BAD_WORDS = ["thing", "nicht", "mente"]
-
-
-def q_id_unique(spark: SparkSession, sf: str) -> DataFrame:
-    return core.duplicate_ids(rel.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 def _known_customers(spark, sf, declared=None):
@@ -29,23 +25,6 @@ def q_dep_resolved(spark, sf):
     return found.select(tx.number_of(F.col("path")).alias("o_orderkey"), tx.number_of(F.col("subject")).alias("o_custkey"))
 
 
-def q_dep_status(spark, sf):
-    terminal = ["F"]
-    c = rel.corpus(spark, sf, {"ORD": None}, [("ITEM", "ORD")])
-    done = rel.read(spark, sf, "lineitem").where(F.col("l_linestatus").isin(terminal)).select(
-        "l_linenumber", F.lit("ITEM").alias("src_ns"), F.lit("depends_on").alias("kind"), F.lit("ORD").alias("dst_ns"), F.col("l_orderkey").cast("long").alias("dst_number"))
-    open_ = core.blocking(done, c.docs, terminal).where("blocks")
-    return open_.select(F.col("dst_number").alias("l_orderkey"), "l_linenumber", F.col("dst_status").alias("o_orderstatus"))
-
-
-def q_satisfied_by(spark, sf):
-    c = rel.corpus(spark, sf, {"ORD": None}, [])
-    items = rel.read(spark, sf, "lineitem").where("l_linestatus = 'F'").select(
-        "l_linenumber", F.lit("depends_on").alias("kind"), F.lit("ORD").alias("dst_ns"), F.col("l_orderkey").cast("long").alias("dst_number"))
-    states = core.blocking(items, c.docs, ["F"], {"ORD": ["F", "P"]})
-    return states.groupBy(F.col("dst_status").alias("o_orderstatus"), "blocks").agg(F.count("*").alias("n"))
-
-
 def q_cross_ref_dedupe(spark, sf):
     known = rel.read(spark, sf, "part").where("p_size <= 25").select("p_partkey")
     items = rel.read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber")
@@ -70,15 +49,6 @@ def q_allowed_values(spark, sf):
     return a.unionByName(b).groupBy("subject", F.col("note").alias("value")).agg(F.count("*").alias("n"))
 
 
-def q_metadata_format(spark, sf):
-    """Event properties: k must be an even number below 100, the time a date of January 2024."""
-    events = rel.read(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    day = tx.date_of(F.date_format(F.col("ts"), "yyyy-MM-dd"))
-    bad = events.select("event_id", k.alias("k"), day.alias("day"))
-    return bad.where(F.col("k").isNull() | (F.col("k") % 2 != 0) | F.col("day").isNull()).select("event_id", F.col("k").cast("long").alias("k"))
-
-
 def q_calendar_fresh(spark, sf):
     c = rel.corpus(spark, sf, {"ORD": None}, [])
     c.tables["docs"] = c.docs.withColumn("metadata", F.map_from_arrays(F.array(F.lit("date")), F.array(F.concat(F.lit('"'), F.substring(F.get_json_object(F.col("metadata")["date"], "$"), 1, 10), F.lit('"')))))
@@ -86,88 +56,22 @@ def q_calendar_fresh(spark, sf):
     return found.select(tx.number_of(F.col("path")).alias("o_orderkey"), F.col("note").alias("due"))
 
 
-def q_vuln_sla(spark, sf):
-    windows = {"1-URGENT": 7, "2-HIGH": 30}
-    limits = spark.createDataFrame(list(windows.items()), "o_orderpriority string, days int")
-    orders = rel.read(spark, sf, "orders").where("o_orderstatus = 'O'").join(F.broadcast(limits), "o_orderpriority")
-    age = F.date_diff(F.to_date(F.lit(AS_OF)), F.to_date("o_orderdate"))
-    return orders.where(age > F.col("days")).select("o_orderkey", "o_orderpriority", age.cast("long").alias("age"))
-
-
 def q_file_budget(spark, sf):
     found = core.file_budget(rel.corpus(spark, sf, {"DOC": None}, []), "DOC", {"max_chars": 20_000})
     return found.select(tx.number_of(F.col("path")).alias("doc_id"), F.col("subject").cast("long").alias("n_chars"))
 
 
-def q_word_budget(spark, sf):
-    docs = rel.read(spark, sf, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words"))
-    return docs.where("n_words > 1000")
-
-
-def q_banned_prose(spark, sf):
-    terms = spark.createDataFrame([(w,) for w in BAD_WORDS], "term string")
-    hits = rel.read(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(terms), F.expr("contains(text, term)"))
-    n = ((F.length("text") - F.length(F.replace("text", "term", F.lit("")))) / F.length("term")).cast("long")
-    return hits.select("doc_id", "term", n.alias("n"))
-
-
 def q_required_anchors(spark, sf):
     found = core.required_anchors(rel.corpus(spark, sf, {"PAGE": None}, []), "PAGE", {"anchors": ["</html>"]})
     return found.select(tx.number_of(F.col("path")).alias("page_id"), F.col("subject").alias("anchor"))
 
 
-def _hrefs(spark, sf):
-    return rel.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-def q_links(spark, sf):
-    """Link targets whose last part is the last part of no page address."""
-    known = rel.read(spark, sf, "pages").select(F.element_at(F.split("url", "/"), -1).alias("name")).distinct()
-    hrefs = _hrefs(spark, sf).withColumn("name", F.element_at(F.split("href", "/"), -1))
-    lost = hrefs.join(known, "name", "left_anti")
-    return lost.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
-
-
-def q_min_docs(spark, sf):
-    declared = spark.createDataFrame([(s,) for s in ("AUTOMOBILE", "BUILDING", "GARDEN", "TOYS")], "ns string")
-    have = rel.read(spark, sf, "customer").select(F.col("c_mktsegment").alias("ns"))
-    return declared.join(have, "ns", "left_anti")
-
-
-def q_undeclared(spark, sf):
-    declared = spark.createDataFrame([(f"src{i}",) for i in range(10)], "source string")
-    docs = rel.read(spark, sf, "documents").join(F.broadcast(declared), "source", "left_anti")
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min_by("lang", "doc_id").alias("first_lang"))
-
-
-def q_unowned(spark, sf):
-    owners = spark.createDataFrame([("en", "a"), ("de", None), ("fr", "b"), ("it", None)], "ns string, owner string")
-    docs = rel.read(spark, sf, "documents").select(F.col("lang").alias("ns"))
-    return owners.where("owner IS NULL OR owner NOT IN ('a')").join(docs, "ns", "left_semi").select("ns", "owner")
-
-
-def q_dep_shape(spark, sf):
-    """Orders that reach no part of the least brand through their items."""
-    parts = rel.read(spark, sf, "part")
-    least = parts.agg(F.min("p_brand").alias("p_brand"))
-    good = parts.join(F.broadcast(least), "p_brand", "left_semi").select("p_partkey")
-    reach = rel.read(spark, sf, "lineitem").join(good, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
-    return rel.read(spark, sf, "orders").select("o_orderkey").join(reach, "o_orderkey", "left_anti")
-
-
-def q_context_map(spark, sf):
-    items = rel.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n"))
-    return items.where("n = 2").select("l_orderkey", "n")
-
-
 def q_refs(spark, sf):
-    """All that points at customer 7 and at part 7."""
-    c = rel.corpus(spark, sf, {"CUST": "c_custkey = 7", "ORD": None, "PART": "p_partkey = 7"}, [("ORD", "CUST")])
-    items = rel.edges(spark, sf, "ITEM", "PART").where("dst_number = 7")
-    named = items.select(F.col("dst_raw").alias("target"), F.col("src_key").alias("file"), F.lit("depends_on").alias("kind"))
-    self_part = nav.refs(c, "PART", 7).select(F.lit("PART-7").alias("target"), "file", "kind")
+    """All that points at customer 7 and at region 1."""
+    c = rel.corpus(spark, sf, {"CUST": None, "ORD": None, "REG": None, "NAT": None}, [("ORD", "CUST"), ("NAT", "REG"), ("CUST", "NAT")])
+    region = nav.refs(c, "REG", 1).select(F.lit("REG-1").alias("target"), "file", "kind")
     cust = nav.refs(c, "CUST", 7).select(F.lit("CUST-7").alias("target"), "file", "kind")
-    return cust.unionByName(self_part).unionByName(named)
+    return cust.unionByName(region)
 
 
 def q_status(spark, sf):
@@ -241,10 +145,7 @@ def q_next_id(spark, sf):
 
 
 def q_briefing(spark, sf):
-    c = rel.corpus(spark, sf, {"ORD": None}, [], [Namespace("ORD", briefing={"counts": ["P", "O"]})])
-    c.tables["docs"] = c.docs.where("number < 500").unionByName(c.docs.where("number >= 500"))
-    c.namespaces[0].briefing["statuses"] = ["P"]
-    c.namespaces[0].briefing["counts"] = ["O", "F"]
+    c = rel.corpus(spark, sf, {"ORD": None}, [], [Namespace("ORD", briefing={"statuses": ["P"], "counts": ["O", "F"]})])
     out = nav.briefing(c)
     return out.groupBy("kind", "what", "place").agg(F.sum("n").alias("n"))
 
@@ -353,10 +254,7 @@ SQL: dict[str, str] = {
         SELECT o_orderkey, 'CUST' AS ns, o_custkey AS number, 1::BIGINT AS line, 5::BIGINT AS col FROM orders WHERE o_orderkey % 3 <> 0
         UNION ALL SELECT o_orderkey, 'ORD', 7, 3, 8 FROM orders WHERE o_orderkey % 2 <> 0
         UNION ALL SELECT o_orderkey, 'CUST', o_custkey, 3, 18 FROM orders WHERE o_orderkey % 2 <> 0""",
-    "q_id_unique": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "q_dep_resolved": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)",
-    "q_dep_status": "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' AND o_orderstatus <> 'F'",
-    "q_satisfied_by": "SELECT o_orderstatus, o_orderstatus NOT IN ('F', 'P') AS blocks, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY ALL",
     "q_cross_ref_dedupe": """
         SELECT l_orderkey, l_partkey, l_shipdate, l_linenumber, n FROM (
           SELECT l_orderkey, l_partkey, l_shipdate, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n,
@@ -366,37 +264,14 @@ SQL: dict[str, str] = {
     "q_allowed_values": """
         SELECT 'priority' AS subject, o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL
         UNION ALL SELECT 'event_type', event_type, count(*) FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY ALL""",
-    "q_metadata_format": """
-        SELECT event_id, k FROM (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(strftime(ts, '%Y-%m-%d') AS DATE) AS day FROM events)
-        WHERE k IS NULL OR k % 2 <> 0 OR day IS NULL""",
     "q_calendar_fresh": f"SELECT o_orderkey, strftime(o_orderdate::DATE + 365, '%Y-%m-%d') AS due FROM orders WHERE o_orderdate::DATE + 365 < DATE '{AS_OF}'",
-    "q_vuln_sla": f"""
-        SELECT o_orderkey, o_orderpriority, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS age
-        FROM orders JOIN (VALUES ('1-URGENT', 7), ('2-HIGH', 30)) w(p, days) ON o_orderpriority = p
-        WHERE o_orderstatus = 'O' AND date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') > days""",
     "q_file_budget": "SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) > 20000",
-    "q_word_budget": r"SELECT doc_id, n_words FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words FROM documents) WHERE n_words > 1000",
-    "q_banned_prose": f"""
-        SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n
-        FROM documents JOIN (SELECT unnest({BAD_WORDS!r}) AS term) ON contains(text, term)""",
     "q_required_anchors": "SELECT page_id, '</html>' AS anchor FROM pages WHERE html IS NULL OR NOT contains(html, '</html>')",
-    "q_links": """
-        WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-        k AS (SELECT DISTINCT string_split(url, '/')[-1] AS name FROM pages)
-        SELECT href, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM h
-        WHERE NOT EXISTS (SELECT 1 FROM k WHERE name = string_split(href, '/')[-1]) GROUP BY href""",
-    "q_min_docs": "SELECT ns FROM (VALUES ('AUTOMOBILE'), ('BUILDING'), ('GARDEN'), ('TOYS')) v(ns) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = ns)",
-    "q_undeclared": "SELECT source, count(*) AS n, min(doc_id) AS first_doc, arg_min(lang, doc_id) AS first_lang FROM documents WHERE source NOT IN (SELECT 'src' || i FROM range(10) t(i)) GROUP BY source",
-    "q_unowned": "SELECT ns, owner FROM (VALUES ('en', 'a'), ('de', NULL), ('fr', 'b'), ('it', NULL)) v(ns, owner) WHERE (owner IS NULL OR owner NOT IN ('a')) AND ns IN (SELECT lang FROM documents)",
-    "q_dep_shape": """
-        SELECT o_orderkey FROM orders WHERE NOT EXISTS (
-          SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_brand = (SELECT min(p_brand) FROM part))""",
-    "q_context_map": "SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 2",
     "q_refs": """
         SELECT 'CUST-7' AS target, 'CUST-7' AS file, 'self' AS kind FROM customer WHERE c_custkey = 7
-        UNION ALL SELECT 'PART-7', 'PART-7', 'self' FROM part WHERE p_partkey = 7
+        UNION ALL SELECT 'REG-1', 'REG-1', 'self' FROM region WHERE r_regionkey = 1
         UNION ALL SELECT 'CUST-7', 'ORD-' || o_orderkey, 'depends_on' FROM orders WHERE o_custkey = 7
-        UNION ALL SELECT 'PART-7', 'ITEM-' || l_orderkey || '.' || l_linenumber, 'depends_on' FROM lineitem WHERE l_partkey = 7""",
+        UNION ALL SELECT 'REG-1', 'NAT-' || n_nationkey, 'depends_on' FROM nation WHERE n_regionkey = 1""",
     "q_status": """
         WITH p AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'open' WHEN p_size > 30 THEN NULL ELSE 'F' END AS st FROM part),
         b AS (SELECT l_orderkey, bool_or(st IS NOT NULL AND st <> 'F') AS blocked FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY l_orderkey),
@@ -453,8 +328,8 @@ SQL: dict[str, str] = {
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in SQL} | rule_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | rule_queries.oracle_sql()

@@ -104,20 +104,24 @@ def load(root: str, user_dir: str = USER_DIR) -> Config:
         return parse(f.read(), user)
 
 
-def validate(config: Config, registry: dict) -> None:
-    """Rule bindings against the registry: unknown codes warn and are dropped, missing tables end the run."""
+def validate(config: Config, registry: dict, providers=lambda code: []) -> None:
+    """Rule bindings against the registry: unknown codes warn and are dropped, missing tables end the run.
+
+    ``providers`` names the packs that bring a rule.
+    """
     for n in config.namespaces:
         for code in list(n.rules):
             rule = registry.get(code)
             if rule is None:
                 if not code.startswith(("core.", "cfg.")) and rule_dirs(code, config):
                     continue
-                config.messages.append(("warning", "cfg.rule-unknown", f"{n.name}: {code}"))
+                packs = "".join(f", the pack {p} has it" for p in providers(code)[:1])
+                config.messages.append(("warning", "cfg.rule-unknown", f"{n.name}: {code}{packs}"))
                 n.rules.remove(code)
             elif rule.needs and not n.params.get(code):
                 raise ConfigError(f"{n.name}: {code} needs a table of parameters")
             elif rule.inert and rule.inert(n, n.params.get(code, {})):
-                config.messages.append(("warning", "cfg.rule-inert", f"{n.name}: {code}"))
+                config.messages.append(("error" if not n.paths else "warning", "cfg.rule-inert", f"{n.name}: {code}"))
             elif code == "core.min-docs" and n.params.get(code, {}).get("count", 1) != 1:
                 config.messages.append(("error", "cfg.reserved-param", f"{n.name}: {code}.count"))
             elif code == "core.metadata-format":

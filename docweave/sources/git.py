@@ -50,7 +50,12 @@ class Git:
         paths = [p for p in (self.run("ls-tree", "-r", "--name-only", ref) or "").split("\n") if p.endswith(suffix)]
         return [(p, self.run("show", f"{ref}:{p}") or "") for p in paths]
 
-    def churn(self, spark: SparkSession, path: str) -> DataFrame:
-        """(path, ts) of the commits that touched a file."""
-        rows = [(path, int(x)) for x in (self.run("log", "--format=%ct", "--", path) or "").split("\n") if x]
+    def churn(self, spark: SparkSession) -> DataFrame:
+        """(path, ts) of every file that a commit touched."""
+        rows, ts = [], 0
+        for x in (self.run("log", "--format=@%ct", "--name-only", "--relative") or "").split("\n"):
+            if x.startswith("@") and x[1:].isdigit():
+                ts = int(x[1:])
+            elif x:
+                rows.append((x, ts))
         return spark.createDataFrame(rows, "path string, ts long")

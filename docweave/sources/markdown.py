@@ -270,7 +270,8 @@ def build(spark: SparkSession, parsed: DataFrame, config: Config, claim: str = "
         "ns": F.when(by_id, F.col("id_ns")).when(F.size("by_path") == 1, F.element_at("by_path", 1)),
         "claim_kind": F.when(F.lit(claim == "source"), "source").when(by_id, "id").when(F.size("by_path") == 1, "path"),
         "conflict": conflict,
-    }).persist()
+    })
+    df = df.unpersist().persist()  # files may have changed since an earlier run over the same folder
     docs = df.where("ns IS NOT NULL AND readable AND NOT conflict")
     inside = docs.select(F.col("location").alias("doc_key"), "ns", "metadata", "key_lines", "headings", "checkboxes", "list_items", "links", "requirements", "prose", "offset")
 
@@ -328,11 +329,21 @@ def tokens(prose: DataFrame, prefixes: list[str]) -> DataFrame:
     return prose.mapInArrow(found, "doc_key string, ns string, number bigint, raw string, line int, col int")
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path of every file below a root; Spark's readers pass over empty files, so local ones are added."""
+    paths = read_files(spark, root).select(F.col("location").alias("path"))
+    if "://" in root:
+        return paths
+    base = os.path.abspath(root)
+    full = [os.path.join(d, x) for d, _, files in os.walk(base) for x in files]
+    empty = [(os.path.relpath(x, base),) for x in full if not os.path.islink(x) and os.path.getsize(x) == 0]
+    return paths.unionByName(spark.createDataFrame(empty, "path string")) if empty else paths
+
+
 def ingest(spark: SparkSession, root: str, config: Config) -> Corpus:
     """A corpus of the markdown files below a root."""
-    everything = read_files(spark, root)
     parsed = parse_files(read_files(spark, root, ".md").where(kept(config)))
-    corpus = build(spark, parsed, config, "file", everything.select(F.col("location").alias("path")))
+    corpus = build(spark, parsed, config, "file", listed(spark, root))
     corpus.root = root
     if config.zero or not config.namespaces:
         used = [r.ns for r in corpus.docs.select("ns").distinct().collect()]

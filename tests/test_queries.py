@@ -28,9 +28,9 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL))
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_is_its_sql(spark, sf, duck, name):
-    assert _rows(q.queries()[name](spark, sf).toPandas()) == _rows(duck.sql(q.SQL[name]).df())
+    assert _rows(q.queries()[name](spark, sf).toPandas()) == _rows(duck.sql(q.oracle_sql()[name]).df())
 
 
 def test_entry(spark):
