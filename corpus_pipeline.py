@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.  The first
-three keep the columns of documents; the last returns packed pieces.
+three keep the columns of documents; the last returns packed pieces with their
+token ids, so that the windows can be put together from its rows alone.
+
+Defined results: a null or empty text goes with the quality rules; very long
+texts pass through whole; of rows with equal texts, whatever their ids, one
+stays; rows with a null doc_id are documents like any other; extra columns,
+whatever their names, are kept up to packing; from an empty table, or one of
+which nothing is kept, come no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of the documents in windows of 1024 ids, each with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
