@@ -26,9 +26,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core below which a table is dealt out.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few megabytes a core dealt out evenly: it may lie in one row group, which one task reads.
+
+    By the optimizer's estimate of size, without a job; larger tables stay as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < SPREAD_BYTES * cores else df
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, a null text as the empty one."""
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    return spread(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
 
 
 def map_texts(df: DataFrame, schema: str, rows: Callable[[list, list], dict]) -> DataFrame:

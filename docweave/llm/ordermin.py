@@ -341,6 +341,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _joined(pairs: DataFrame, texts: DataFrame, labels: DataFrame, least: float, work: Workspace) -> DataFrame:
     """Labels after comparing these pairs: what their links join are classes."""
     pairs = work.written(pairs, "pairs")
+    if pairs.isEmpty():
+        return labels
     new = work.written(compared(pairs, texts, least), "links")
     if new.isEmpty():
         return labels

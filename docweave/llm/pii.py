@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boost import BoostedTrees
-from .common import id_and_text, map_texts
+from .common import id_and_text, map_texts, spread
 
 TRAIN_ROWS = 6000
 PRECISION = 0.98
@@ -383,7 +383,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array(n, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return spread(docs).mapInArrow(cleaned, docs.schema)
 
 
 query = find

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts
+from .common import id_and_text, map_texts, spread
 
 #: Rows from which the order of rules is estimated; the verdict does not depend on it.
 SAMPLE_ROWS = 256
@@ -177,7 +178,7 @@ def passes(f: Figures, order: list[str]) -> bool:
 
 def sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """About ``sample_rows`` texts, the first few of up to SAMPLE_PARTITIONS partitions spread over the table."""
-    texts = id_and_text(docs).select("text")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = texts.rdd.getNumPartitions()
     step = max(1, n // SAMPLE_PARTITIONS)
     each = -(-sample_rows // max(1, n // step))
@@ -244,7 +245,7 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             texts = b.column(names.index("text"))
             yield b.filter(pa.array([passes(Figures(t.as_py() or ""), order) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return spread(docs).mapInArrow(passing, docs.schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

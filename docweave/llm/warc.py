@@ -9,7 +9,11 @@ An archive is two Parquet tables below one folder:
 Equal payloads are found by SHA-256; length and SHA-1 of all members must
 agree as well (else the write fails), and on reading the stored bytes are
 hashed again and must give the key they are stored under.  ``records`` puts
-the original record bytes together by joining the two tables.
+the original record bytes together by joining the two tables, and ``read``
+knows nothing but those bytes: it parses every record, hashes the payload that
+stands in a response, and finds what a revisit refers to by its record id.
+Both tables are bucketed by SHA-256, so in the session that wrote them their
+join moves no payload again.
 
 Of the records with equal payloads that with the largest page_id is the
 response, the others are revisits that refer to it.  Payload bytes are
@@ -25,6 +29,8 @@ archive without records.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +78,7 @@ def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> No
 
     # copies fall together before the shuffle, so a payload that many pages have is no hot key
     stored = held.select("sha256", "payload").dropDuplicates(["sha256"])
-    stored.select("sha256", F.length("payload").cast("long").alias("n"), "payload").write.parquet(f"{root}/payloads")
+    _save(stored.select("sha256", F.length("payload").cast("long").alias("n"), "payload"), root, "payloads")
 
     best_id, best_url = F.col("best.page_id"), F.col("best.url")
     clean = lambda url: F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", " ")
@@ -103,70 +109,103 @@ def write(pages: DataFrame, root: str, date: str = "1970-01-01T00:00:00Z") -> No
         line("Content-Length", block.cast("string")),
         F.lit(_CRLF),
     )
-    (
-        keyed.join(groups, "sha256")
-        .withColumn("http", http)
-        .select(
-            "page_id",
-            "sha256",
-            F.when(~responds, best_id).alias("refers_to"),
-            header.cast("binary").alias("header"),
-            F.col("http").cast("binary").alias("http"),
-        )
-        .write.parquet(f"{root}/headers")
-    )
+    heads = keyed.join(groups, "sha256").withColumn("http", http)
+    heads = heads.select("page_id", "sha256", responds.alias("responds"), header.cast("binary").alias("header"), F.col("http").cast("binary").alias("http"))
+    _save(heads, root, "headers")
+
+
+def _table(root: str, name: str) -> str:
+    return f"warc_{hashlib.md5(root.encode()).hexdigest()[:16]}_{name}"
+
+
+def _save(df: DataFrame, root: str, name: str) -> None:
+    """Write a table in buckets by SHA-256, as many as a shuffle has partitions, so each is one file."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.write.format("parquet").bucketBy(n, "sha256").sortBy("sha256")
+    out.option("path", f"{root}/{name}").saveAsTable(_table(root, name))
+
+
+def _load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table; in the session that wrote it, with its buckets."""
+    known = _table(root, name)
+    return spark.table(known) if spark.catalog.tableExists(known) else spark.read.parquet(f"{root}/{name}")
+
+
+def forget(spark: SparkSession, root: str) -> None:
+    """Drop the tables' names from the session's catalogue; the files stay."""
+    for name in ("payloads", "headers"):
+        spark.sql(f"DROP TABLE IF EXISTS {_table(root, name)}")
 
 
 def payloads(spark: SparkSession, root: str) -> DataFrame:
     """sha256, payload; bytes that do not give their key fail the read."""
-    df = spark.read.parquet(f"{root}/payloads")
+    df = _load(spark, root, "payloads")
     good = F.when((F.sha2("payload", 256) == F.col("sha256")) & (F.length("payload") == F.col("n")), F.col("payload"))
     return df.select("sha256", F.coalesce(good, F.raise_error(F.lit("a stored payload is damaged"))).alias("payload"))
 
 
-def _field(header: Column, name: str) -> Column:
-    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
-
-
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """page_id, sha256, refers_to, header, http, and the type and digest that the header says."""
-    text = F.decode("header", "UTF-8")
-    return spark.read.parquet(f"{root}/headers").withColumns({
-        "record_type": _field(text, "WARC-Type"),
-        "said_digest": F.regexp_replace(_field(text, "WARC-Payload-Digest"), "^sha1:", ""),
-    })
+    """page_id, sha256, whether the record is a response, and its WARC header and HTTP head."""
+    return _load(spark, root, "headers")
 
 
 def records(spark: SparkSession, root: str) -> DataFrame:
-    """page_id, record_type and the exact bytes of every record."""
+    """page_id and the exact bytes of every record."""
     heads, end = headers(spark, root), F.lit(_CRLF * 2).cast("binary")
-    response = heads.where(F.col("record_type") == "response").join(payloads(spark, root), "sha256")
-    revisit = heads.where(F.col("record_type") != "response")
-    return response.select("page_id", "record_type", F.concat("header", "http", "payload", end).alias("record")).unionByName(
-        revisit.select("page_id", "record_type", F.concat("header", "http", end).alias("record"))
+    response = heads.where("responds").join(payloads(spark, root), "sha256")
+    revisit = heads.where("NOT responds")
+    return response.select("page_id", F.concat("header", "http", "payload", end).alias("record")).unionByName(
+        revisit.select("page_id", F.concat("header", "http", end).alias("record"))
     )
 
 
+def parsed(recs: DataFrame) -> DataFrame:
+    """What each record says (type, ids, digest, sizes), and the size and digest of the payload that stands in it."""
+    blank = _CRLF * 2
+    df = recs.withColumn("chars", F.decode("record", "ISO-8859-1"))  # a character a byte
+    df = df.withColumn("block_at", F.instr("chars", blank) + 4)
+    df = df.withColumn("payload_at", F.call_function("locate", F.lit(blank), F.col("chars"), F.col("block_at")) + 4)
+    head = F.substring(F.col("chars"), F.lit(1), F.col("payload_at") - 1)
+    df = df.select("page_id", "record", "block_at", "payload_at", head.alias("head"))
+    field = lambda name, k: F.get(F.regexp_extract_all("head", F.lit(rf"(?m)^{name}: ([^\r\n]*)\r?$"), F.lit(1)), F.lit(k))
+    df = df.withColumns({
+        "record_type": field("WARC-Type", 0), "record_id": field("WARC-Record-ID", 0), "to_id": field("WARC-Refers-To", 0),
+        "said_digest": F.regexp_replace(field("WARC-Payload-Digest", 0), "^sha1:", ""),
+        "block_bytes": field("Content-Length", 0).cast("long"), "said_bytes": field("Content-Length", 1).cast("long"),
+    })
+    n = F.col("block_bytes") - (F.col("payload_at") - F.col("block_at"))
+    payload = F.substring(F.col("record"), F.col("payload_at"), n.cast("int"))
+    whole = F.length("record") == F.col("block_at") - 1 + F.col("block_bytes") + 4
+    df = df.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a record has not the length that it says")).cast("boolean")))
+    return df.select(
+        "page_id", "record_type", "record_id", "to_id", "said_digest", "said_bytes",
+        F.length(payload).cast("long").alias("payload_bytes"), base32(F.sha1(payload)).alias("payload_digest"),
+    )
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """One row a record; size and digest are taken from the stored bytes, and must be as the header says."""
-    facts = payloads(spark, root).select(
-        "sha256", F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest")
+    """One row a record: size and digest of the full payload are those of the bytes in the archive."""
+    facts = written(parsed(records(spark, root)), "warc-facts")
+    checked = F.when(
+        (F.col("said_digest") == F.col("payload_digest")) & (F.col("said_bytes") == F.col("payload_bytes")), F.col("payload_digest")
     )
-    digest = F.when(F.col("said_digest") == F.col("payload_digest"), F.col("payload_digest"))
-    return headers(spark, root).join(facts, "sha256").select(
-        "page_id",
-        "payload_bytes",
-        F.coalesce(digest, F.raise_error(F.lit("a header's digest is not the payload's"))).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    bad = F.raise_error(F.lit("a header's digest or length is not the payload's"))
+    full = facts.where("record_type = 'response'").withColumn("payload_digest", F.coalesce(checked, bad))
+    to = full.select(F.col("record_id").alias("to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    said = facts.where("record_type = 'revisit'").select("page_id", "to_id", "said_digest", "said_bytes")
+    revisit = said.join(to, "to_id", "left").withColumn("payload_digest", F.coalesce(checked, bad))
+    columns = ["page_id", "payload_bytes", "payload_digest"]
+    response = full.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return response.unionByName(revisit.select(*columns, F.lit("revisit").alias("record_type"), F.col("refers_to").cast("long")))
 
 
 def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     root = shared_dir(spark, "warc")
     write(pages, root)
-    return read(spark, root)
+    found = read(spark, root)
+    forget(spark, root)
+    return found
 
 
 SQL = f"""

@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import topk, warc
 from docweave.llm.common import shared_dir
@@ -32,10 +33,11 @@ def test_warc(spark, pages):
     assert warc.payloads(spark, root).count() == len({p.html or "" for p in rows})
     for r in warc.records(spark, root).collect():
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and block.endswith(b"\r\n\r\n")
+        kind = head.partition(b"WARC-Type: ")[2].split(b"\r\n")[0]
+        assert head.startswith(b"WARC/1.1\r\n") and kind in (b"response", b"revisit") and block.endswith(b"\r\n\r\n")
         length = int(head.partition(b"Content-Length: ")[2].split(b"\r\n")[0])
         assert length == len(block) - 4
-        if r.record_type == "response":
+        if kind == b"response":
             payload = block[:-4].partition(b"\r\n\r\n")[2]
             assert b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest()) in head
 
@@ -54,6 +56,19 @@ def test_warc_ids_and_columns(spark):
     assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.read(spark, root).collect()) == [(2, "revisit", 5)] + [(5, "response", 0)] * 4
 
 
+def test_the_archive_alone_is_read(spark, pages):
+    """Another session knows the files only; a changed byte is noticed."""
+    root = shared_dir(spark, "warc-test")
+    warc.write(pages, root)
+    first = sorted(map(str, warc.read(spark, root).collect()))
+    warc.forget(spark, root)
+    assert sorted(map(str, warc.read(spark, root).collect())) == first
+    joined = warc.records(spark, root)
+    bad = joined.withColumn("record", F.concat("record", F.lit("x").cast("binary")))
+    with pytest.raises(Exception, match="has not the length"):
+        warc.parsed(bad).collect()
+
+
 def test_warc_empty(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
