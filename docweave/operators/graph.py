@@ -102,7 +102,13 @@ def peel(edges: DataFrame) -> DataFrame:
 
 
 def cycle_members(edges: DataFrame, small: int = SMALL_RESIDUE) -> DataFrame:
-    """(node, cycle): nodes on a cycle, each with the least node of its strongly connected component."""
+    """(node, cycle): nodes on a cycle, each with the least node of its strongly connected component.
+
+    Where every node has one edge at most, cycles are found in logarithmic
+    rounds; any other graph loses its tails first, a link a round.
+    """
+    if edges.select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _functional_cycles(edges)
     rest = peel(edges)
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")).distinct()
     if rest.isEmpty():
@@ -116,6 +122,17 @@ def cycle_members(edges: DataFrame, small: int = SMALL_RESIDUE) -> DataFrame:
     return comps.unionByName(loops).groupBy("node").agg(F.min("cycle").alias("cycle"))
 
 
+def _functional_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that 1, 2, 4, ... steps lead to, and the least node on each way; in the end all of them lie on cycles."""
+    way = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("src").alias("cycle")).distinct())
+    n, reached = way.count(), 1
+    while reached < n:
+        hop = way.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("cycle").alias("more"))
+        way = cut(way.join(hop, "to").select("node", F.col("next").alias("to"), F.least("cycle", "more").alias("cycle")))
+        reached *= 2
+    return way.join(way.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", "cycle")
+
+
 def _tarjan(edges: list[tuple]) -> list[tuple]:
     """Components of several nodes, without recursion."""
     to: dict = {}

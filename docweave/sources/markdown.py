@@ -7,6 +7,7 @@ Nothing but the configuration and its patterns is held on the driver.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import posixpath
@@ -38,12 +39,13 @@ _REQUIREMENT = re.compile(r"^([A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*-[0-9]+(?:\.[0-9]+)*)
 _STATUS = re.compile(r"^[ \t]*(?:[-*+][ \t]+)?\**Status:?\**:?[ \t]*(.+?)[ \t]*$", re.IGNORECASE)
 
 
-def _load_yaml(block: str):
-    """The block as a map; dates stay strings."""
+@functools.cache
+def _yaml_loader():
+    """yaml and a safe loader that leaves dates as strings; None where yaml is not installed."""
     try:
         import yaml
     except ImportError:
-        return _plain_yaml(block)
+        return None
 
     class Loader(yaml.SafeLoader):
         pass
@@ -51,7 +53,15 @@ def _load_yaml(block: str):
     Loader.yaml_implicit_resolvers = {
         k: [r for r in v if r[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
     }
-    return yaml.load(block, Loader)  # noqa: S506  a safe loader
+    return yaml, Loader
+
+
+def _load_yaml(block: str):
+    """The block as a map; dates stay strings."""
+    if _yaml_loader() is None:
+        return _plain_yaml(block)
+    yaml, loader = _yaml_loader()
+    return yaml.load(block, loader)  # noqa: S506  a safe loader
 
 
 def _plain_yaml(block: str) -> dict:
@@ -148,14 +158,15 @@ def scan_body(body: str, offset: int) -> dict:
         if "`" in line:
             commands.add(len(headings) - 1)
     text = "\n".join(prose)
-    for m in _LINK.finditer(_CODE.sub(_blank, text)):
+    plain = _CODE.sub(_blank, text) if "`" in text else text
+    for m in _LINK.finditer(plain) if "](" in plain else ():
         row = text.count("\n", 0, m.start())
         col = m.start() - (text.rfind("\n", 0, m.start()) + 1) + 1
         links.append(("image" if m[1] else "link", m[2] if m[2] is not None else m[3], offset + row + 1, col))
     return {
         "headings": [(*h, k + 1, k in commands) for k, h in enumerate(headings)],
         "checkboxes": boxes, "list_items": items, "links": links, "requirements": [tuple(r) for r in reqs],
-        "prose": _STRIKE.sub(_blank, _CODE.sub(_blank, text)),
+        "prose": _STRIKE.sub(_blank, plain) if "~~" in plain else plain,
     }
 
 

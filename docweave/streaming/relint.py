@@ -19,8 +19,10 @@ def stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
 def relint(spark: SparkSession, folder: str, namespaces: list[Namespace], known: DataFrame | None, out: str, checkpoint: str):
     """A streaming query that checks each batch of envelopes and writes its diagnostics.
 
-    Targets are the batch and ``known`` (the docs table so far); a batch that
-    is run again writes its own folder again, so results are kept once.
+    Targets are the batch and ``known``, the docs table when the query starts:
+    documents of earlier batches become targets only when the query is started
+    anew with a table that holds them.  A batch that is run again writes its own
+    folder again, so results are kept once.
     """
     config = Config(namespaces=namespaces)
 
