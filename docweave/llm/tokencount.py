@@ -22,7 +22,8 @@ pointer doubling.  All lanes run in lockstep.
 
 Spans of at most SPAN bytes are counted one after the other, and the state at
 a span's end is carried on.  If a span would need more than MAX_STATES states,
-tables and caches are emptied and it is cut in half.
+the tables are emptied and it is cut in half; what is known of pairs of tokens
+stays, up to MAX_AGREEMENTS.
 
 Defined results: a null or empty text has no bytes and no tokens; texts and
 words of any length and script are counted whole; strings of special tokens
@@ -43,11 +44,11 @@ from .common import PLAIN_TEXT, PLAIN_WORDS, id_and_text, map_texts
 CHUNK = 512
 LIMIT = 2048
 #: Bytes that are counted together.
-SPAN = 1 << 20
+SPAN = 1 << 22
 #: Bytes before a chunk that the guess of its entry state is made from.
 WARM = 64
 #: States of the compiled tables at most; at that number they are compiled anew.
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 18
 #: Known agreements of token pairs at most.
 MAX_AGREEMENTS = 1 << 20
 _END = 0x0A  # cannot be inside a word
@@ -86,6 +87,8 @@ class Transducer:
                 node = self.child[node][b]
             (self.final if at_end else self.inner)[node] = token
             self.bytes_of[token] = raw
+        self.inner_agree: dict[tuple[int, int], bool] = {}
+        self.final_agree: dict[tuple[int, int], bool] = {}
         self.rank = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(v.left, v.right, v.made))}
         self.reset()
 
@@ -94,8 +97,6 @@ class Transducer:
         return set(self.v.made.tolist())
 
     def reset(self) -> None:
-        self.inner_agree: dict[tuple[int, int], bool] = {}
-        self.final_agree: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         #: column of each byte in the tables, given out as bytes are met
