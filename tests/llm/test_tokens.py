@@ -5,6 +5,7 @@ import io
 import os
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -67,6 +68,44 @@ def test_any_text(text):
     assert packing.encoder(other)(text).tolist() == library(other, text)
 
 
+def test_bpe_in_sections_and_lots(word_bpe, monkeypatch):
+    """Whatever is encoded together, and whenever the store starts anew: the library's ids."""
+    rng = random.Random(7)
+    parts = ["a", "é", "e\u0301", " ", "\n", "\t", "\u3000", "'s", "Σ", "你", "<|endoftext|>", "<|end", "1", "...", "words", "\u0301"]
+    texts = ["", "no-white-space" * 30, " " * 90, *("".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(300))]
+    want = [library(word_bpe, t) for t in texts]
+    for words, size, lot, group, section in ((50, 1 << 20, 40, 2000, 16), (10**6, 200, 1, 1, 1), (10**6, 1 << 20, 10**6, 10**6, 50)):
+        for name, value in zip(("KEPT_WORDS", "KEPT_BYTES", "LOT_BYTES", "GROUP_CHARS", "SECTION_CHARS"), (words, size, lot, group, section)):
+            monkeypatch.setattr(bpe, name, value)
+        store = bpe.WordStore(word_bpe)
+        monkeypatch.setattr(bpe, "word_store", lambda path: store)
+        assert [x.tolist() for x in bpe.encode_texts(word_bpe, iter(texts))] == want
+        assert len(store.numbers) <= words + 200
+        assert [bpe.decode(np.array(i, "<u4"), word_bpe) for i in want] == [tokenizer(word_bpe).decode(i, skip_special_tokens=False) for i in want]
+        assert all("".join(bpe.sections(t)) == t for t in texts)
+
+
+def test_bpe_memory(docs, word_bpe):
+    """One Python worker a task, and little held in it beside the texts: for many texts, for a long one, for new words."""
+    plan = bpe.query(docs, word_bpe)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rng = random.Random(11)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(2000)]
+    many = [" ".join(rng.choices(names, k=400)) for _ in range(2500)]
+    new = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1000)) for _ in range(1000)]
+    bpe.word_store.cache_clear()
+    next(bpe.encode_batch(word_bpe, [" ".join(names)]))
+    peaks = []
+    for texts in (many, [" ".join(many)], new):
+        tracemalloc.start()
+        for _ in bpe.encode_batch(word_bpe, texts):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] / sum(map(len, texts)))
+        tracemalloc.stop()
+    print(f"bytes held at most for a character of many texts, of a long one, of new words: {peaks}")
+    assert peaks[0] < 4 and peaks[1] < 10 and peaks[2] < 55  # 7.7, 25.8 and 70.9 with lists of words
+
+
 def test_counts(docs, odd, nothing, word_bpe):
     df = _both(docs, odd)
     text = {r.doc_id: r.text or "" for r in df.collect()}
